@@ -188,9 +188,11 @@ def share_vs_benchmark(df: DataFrame, c: str = "Beneficiary_Category", subset: S
     over/under label (gap 0 counts as under)."""
     shares = value_counts(df, c, pct_name="Share_Pct", denominator="non_null")
     sub = shares.where(F.col(c).isin(list(subset)))
-    return sub.agg(F.sum("Share_Pct").alias("Subset_Share_Pct")).select(
+    # Shares carry 2 decimals; re-rounding their sum removes the
+    # summation-order noise of floating point addition.
+    return sub.agg(pandas_round(F.sum("Share_Pct"), 2).alias("Subset_Share_Pct")).select(
         "Subset_Share_Pct", F.lit(benchmark).alias("Benchmark_Pct"),
-        (F.col("Subset_Share_Pct") - F.lit(benchmark)).alias("Gap_Pct"),
+        pandas_round(F.col("Subset_Share_Pct") - F.lit(benchmark), 2).alias("Gap_Pct"),
         F.when(F.col("Subset_Share_Pct") - F.lit(benchmark) > 0, F.lit("over-represents"))
          .otherwise(F.lit("under-represents")).alias("Representation"))
 

@@ -518,8 +518,9 @@ def _cat_share(t):
 WITH s AS (SELECT Beneficiary_Category,
                   round_even(count(*) / sum(count(*)) OVER () * 100e0, 2) AS Share_Pct
            FROM applications WHERE Beneficiary_Category IS NOT NULL GROUP BY Beneficiary_Category),
-m AS (SELECT sum(Share_Pct) AS Subset_Share_Pct FROM s WHERE Beneficiary_Category IN ('BPL', 'SC/ST', 'Women-headed'))
-SELECT Subset_Share_Pct, 55e0 AS Benchmark_Pct, Subset_Share_Pct - 55e0 AS Gap_Pct,
+m AS (SELECT round_even(sum(Share_Pct), 2) AS Subset_Share_Pct FROM s
+      WHERE Beneficiary_Category IN ('BPL', 'SC/ST', 'Women-headed'))
+SELECT Subset_Share_Pct, 55e0 AS Benchmark_Pct, round_even(Subset_Share_Pct - 55e0, 2) AS Gap_Pct,
        CASE WHEN Subset_Share_Pct - 55e0 > 0 THEN 'over-represents' ELSE 'under-represents' END AS Representation FROM m""")
 def _share_bench(t):
     return A.share_vs_benchmark(t.applications())
