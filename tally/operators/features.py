@@ -36,24 +36,32 @@ def iqr_bounds(df: DataFrame, c: str, k: float = 1.5) -> DataFrame:
                     (F.col("Q3") + k * (F.col("Q3") - F.col("Q1"))).alias("upper_bound"))
 
 
-def iqr_outlier_flag(c: str, bounds: DataFrame) -> Column:
-    lo = bounds.select("lower_bound").scalar()
-    hi = bounds.select("upper_bound").scalar()
+def _with_fences(df: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Attach both fences as one struct column ``_fences`` from ONE scalar
+    subquery (evaluated once, shipped to every task as a literal)."""
+    b = bounds.select(F.struct("lower_bound", "upper_bound").alias("b")).scalar()
+    return df.withColumn("_fences", b)
+
+
+def iqr_outlier_flag(c: str) -> Column:
+    """Needs ``_fences`` (see ``_with_fences``)."""
+    lo, hi = F.col("_fences.lower_bound"), F.col("_fences.upper_bound")
     return null_false((F.col(c) < lo) | (F.col(c) > hi))
 
 
 def iqr_outliers(df: DataFrame, c: str, bounds: DataFrame) -> DataFrame:
-    flag = iqr_outlier_flag(c, bounds)
-    return df.agg(F.sum(flag.cast("int")).cast("bigint").alias("n_outliers"),
-                  F.count("*").alias("n_rows")).select(
+    staged = _with_fences(df, bounds)
+    return staged.agg(F.sum(iqr_outlier_flag(c).cast("int")).cast("bigint").alias("n_outliers"),
+                      F.count("*").alias("n_rows")).select(
         "n_outliers", "n_rows", pct("n_outliers", "n_rows").alias("pct_outliers"))
 
 
 def iqr_winsorize(df: DataFrame, c: str, out: str, bounds: DataFrame) -> DataFrame:
-    """Clip into a new column at the fences; row count unchanged."""
-    lo = bounds.select("lower_bound").scalar()
-    hi = bounds.select("upper_bound").scalar()
-    return df.withColumn(out, clip(c, lo, hi))
+    """Clip into a new column at the fences; row count unchanged.  The
+    fence struct is projected once, so the subquery is planned once."""
+    staged = _with_fences(df, bounds)
+    lo, hi = F.col("_fences.lower_bound"), F.col("_fences.upper_bound")
+    return staged.withColumn(out, clip(c, lo, hi)).drop("_fences")
 
 
 def anomaly_flags(df: DataFrame, cap: float = SCHEME_CFA_MAX, ratio_limit: float = UNITS_RATIO_LIMIT) -> DataFrame:
