@@ -115,9 +115,14 @@ def day_first_date(c, formats: Sequence[str] = ("dd/MM/yyyy", "d/M/yyyy", "dd-MM
 _WS = r"(?U)\s+"
 
 
+# Every character Python's str.isspace() accepts (derived, not listed).
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: Unicode whitespace at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: strip Python whitespace at both ends, as a
+    character-set trim (no regex)."""
+    return F.trim(col(c), F.lit(PY_WHITESPACE))
 
 
 def collapse_ws(c) -> Column:

@@ -193,11 +193,12 @@ def rule_evaluate(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, tokens:
     """Add ``Pass_Fail`` (FAIL if any rule fails) and ``Failure_Reason``
     (messages in rule order joined by ' | ').  One projection, no shuffle."""
     msgs = [m for m in (rule_failure(df.columns, r, tokens) for r in rules) if m is not None]
-    failures = F.array_compact(F.array(*msgs)) if msgs else F.array().cast("array<string>")
-    return (df.withColumn("_failures", failures)
-              .withColumn(status, F.when(F.size("_failures") > 0, F.lit("FAIL")).otherwise(F.lit("PASS")))
-              .withColumn(reason, F.array_join("_failures", " | "))
-              .drop("_failures"))
+    # concat_ws skips NULL messages and stays inside whole-stage codegen
+    # (an array + filter lambda would force interpreted evaluation).
+    joined = F.concat_ws(" | ", *msgs) if msgs else F.lit("")
+    out = df.withColumn(reason, joined)
+    out = out.withColumn(status, F.when(F.col(reason) != "", F.lit("FAIL")).otherwise(F.lit("PASS")))
+    return out.select(*df.columns, status, reason)
 
 
 def status_summary(df: DataFrame, c: str = "Pass_Fail", label: str = "Result") -> DataFrame:
