@@ -203,10 +203,9 @@ def rule_evaluate(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, tokens:
 
 def status_summary(df: DataFrame, c: str = "Pass_Fail", label: str = "Result") -> DataFrame:
     """Count per outcome and its share of all rows (round 2, half-even)."""
-    total = df.agg(F.count("*").alias("_total"))
+    total = df.select(F.count(F.lit(1))).scalar()
     counts = df.groupBy(F.col(c).alias(label)).agg(F.count("*").alias("Count"))
-    return counts.crossJoin(total).select(
-        label, "Count", pandas_round(F.col("Count") * 100.0 / F.col("_total"), 2).alias("Percentage"))
+    return counts.select(label, "Count", pandas_round(F.col("Count") * 100.0 / total, 2).alias("Percentage"))
 
 
 def fail_records(df: DataFrame, cols: Sequence[str], c: str = "Pass_Fail") -> DataFrame:

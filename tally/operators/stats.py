@@ -31,6 +31,15 @@ from ..functions.exprs import col, pandas_round, quantile_position, try_div
 from ..session import cut_lineage
 
 
+def attach_row(df: DataFrame, one_row: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Add the columns of a ONE-row frame (bounds, fences, moments) to every
+    row of ``df`` through a single scalar subquery - evaluated once and
+    shipped to the tasks as a literal, with no join at all."""
+    s = one_row.select(F.struct(*cols).alias("_row")).scalar()
+    out = df.withColumn("_row", s)
+    return out.select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in cols])
+
+
 def _qname(q: float) -> str:
     return "q" + format(q, ".6g").replace(".", "_")
 
@@ -97,7 +106,7 @@ def describe_numeric(df: DataFrame, value_col: str, group_cols: Sequence[str] =
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"))
     qs = exact_quantiles(df, value_col, [0.25, 0.5, 0.75], g, names=["p25", "p50", "p75"]).drop("n")
-    joined = moments.join(qs, on=g, how="left") if g else moments.crossJoin(qs)
+    joined = moments.join(qs, on=g, how="left") if g else attach_row(moments, qs, ["p25", "p50", "p75"])
     stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     rnd = (lambda c: pandas_round(c, digits)) if digits is not None else (lambda c: c)
     return joined.select(*g, "count", *[rnd(F.col(s)).alias(s) for s in stats])
@@ -174,7 +183,7 @@ def histogram_bins(df: DataFrame, value_col: str, bins: int) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width).cast("int"), F.lit(bins - 1)))
-    counts = vals.crossJoin(F.broadcast(bounds)).select(idx.alias("bin")).groupBy("bin").agg(
+    counts = attach_row(vals, bounds, ["lo", "hi"]).select(idx.alias("bin")).groupBy("bin").agg(
         F.count("*").alias("count"))
     grid = bounds.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     edges = grid.select(
@@ -196,13 +205,13 @@ def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), k:
     x = F.col(value_col).cast("double")
     vals = df.select(*g, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     joined = vals.join(fences.select(*g, "lo_fence", "hi_fence"), g, "inner") if g else \
-        vals.crossJoin(fences.select("lo_fence", "hi_fence"))
+        attach_row(vals, fences, ["lo_fence", "hi_fence"])
     inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
     wh = joined.groupBy(*g).agg(
         F.min(F.when(inside, F.col("x"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("x"))).alias("upper_whisker"),
         F.sum(F.when(inside, 0).otherwise(1)).cast("bigint").alias("n_outliers"))
-    out = fences.join(wh, g, "left") if g else fences.crossJoin(wh)
+    out = fences.join(wh, g, "left") if g else attach_row(fences, wh, ["lower_whisker", "upper_whisker", "n_outliers"])
     return out.select(*g, "n", "q1", "median", "q3", "lower_whisker", "upper_whisker", "n_outliers")
 
 
@@ -220,7 +229,7 @@ def ols_standardised(df: DataFrame, features: Sequence[str], target: str,
                         else F.col(c).cast("double")).alias(c) for c in cols]).dropna()
     stats = data.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
                      *[F.stddev_pop(c).alias(f"s_{c}") for c in features])
-    z = data.crossJoin(F.broadcast(stats)).select(
+    z = attach_row(data, stats, stats.columns).select(
         *[try_div(F.col(c) - F.col(f"m_{c}"),
                   F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(F.lit(1.0))).alias(c)
           for c in features], F.col(target))
