@@ -52,7 +52,7 @@ def main() -> None:
     scratch = os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="tally-bench-")
 
     t0 = time.perf_counter()
-    tables = materialize(spark, sf_dir, os.path.join(scratch, "bound"))
+    tables = materialize(spark, sf_dir, os.path.join(scratch, "bound"), min_files=cpus)
     bind_s = time.perf_counter() - t0
 
     times, shuffles = {}, {}

@@ -172,9 +172,16 @@ class Tables:
         return base_table(self.spark, self.sf_dir, name)
 
 
-def materialize(spark: SparkSession, sf_dir: str, out_root: str) -> Tables:
+def materialize(spark: SparkSession, sf_dir: str, out_root: str, min_files: int | None = None) -> Tables:
     """Write the bound tables once as parquet under ``out_root`` (a shared
-    folder on a cluster) and return a provider that reads them."""
+    folder on a cluster) and return a provider that reads them.
+
+    ``min_files`` writes each table as that many round-robin files, so
+    scans of a small table still get one task per core; leave it unset for
+    large tables, which come out of the join in many partitions."""
     for name in BINDINGS:
-        bind(spark, sf_dir, name).write.mode("overwrite").parquet(os.path.join(out_root, name))
+        df = bind(spark, sf_dir, name)
+        if min_files:
+            df = df.repartition(min_files)
+        df.write.mode("overwrite").parquet(os.path.join(out_root, name))
     return Tables(spark, sf_dir, materialized=out_root)
