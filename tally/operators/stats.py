@@ -4,20 +4,12 @@ Lorenz points, equal-width histograms, box statistics, standardised OLS.
 Exact quantiles are the scale-sensitive piece.  Spark's ``percentile``
 aggregate merges a value->count map per group in ONE task, so a group that
 holds a third of 100 TB would be collected into one executor.  Here the
-rank of every value is derived from a range-partitioned sort instead:
-
-1. ``repartitionByRange(group, value)`` + ``sortWithinPartitions`` spreads
-   even a single hot group over many partitions (the value is part of the
-   range key), each partition sorted;
-2. per (group, partition) row counts and first row ids (tiny: at most
-   groups x partitions rows) give every partition's rank offset inside the
-   group through a window over those counts;
-3. a row's rank = offset + position in its partition; only the two rows
-   around each requested position survive a filter, and one small
-   aggregate interpolates (pandas / DuckDB ``quantile_cont`` linear rule).
-
-The sorted frame is checkpointed to the reliable checkpoint directory so
-both passes see the same partition contents even if executors are lost.
+rank of every value is derived from a range-partitioned sort of the
+(group, value, count) pairs instead (see ``exact_quantiles``): a hot group
+spreads over many partitions, and only the partitions that hold a wanted
+rank are read a second time.  The partitioned pairs are frozen as a
+parquet table in the reliable checkpoint folder between the passes, so
+both passes see the same partitions even if executors are lost.
 """
 
 from __future__ import annotations
@@ -25,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql.types import BooleanType, DateType, IntegralType
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col, pandas_round, quantile_position, try_div
@@ -44,13 +37,41 @@ def _qname(q: float) -> str:
     return "q" + format(q, ".6g").replace(".", "_")
 
 
+def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]):
+    cond = None
+    for c in cols:
+        t = left[c].eqNullSafe(right[c])
+        cond = t if cond is None else cond & t
+    return cond
+
+
+def _few_distinct(df: DataFrame, cols: Sequence[str]) -> bool:
+    """Integral, boolean and date columns repeat values heavily, so
+    counting (group, value) pairs first collapses them map-side; floating
+    columns are mostly distinct and skip that extra shuffle."""
+    kinds = (IntegralType, BooleanType, DateType)
+    return all(isinstance(df.schema[c].dataType, kinds) for c in cols)
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                    approx_accuracy: int | None = None) -> DataFrame:
+                    approx_accuracy: int | None = None, preaggregate: bool | None = None) -> DataFrame:
     """Linear-interpolated quantiles of ``value_col`` per group (NULL and
     NaN skipped).  One row per group with one DOUBLE column per prob plus
     ``n`` (non-null count).  ``approx_accuracy`` switches to the
     single-pass ``percentile_approx`` sketch where exactness is not needed.
+    ``preaggregate`` (default: by column type, see ``_few_distinct``)
+    chooses between the two plans below.
+
+    Both plans range-partition on (group, value), so a hot group spreads
+    over many partitions, freeze the partitioned data with its partition
+    id in the checkpoint folder, and derive every partition's rank offset
+    from a window over the per-(group, partition) counts - at most
+    groups x partitions rows.  ``_quantiles_from_positions`` ranks rows by
+    their position in the sorted partition (mostly-distinct values);
+    ``_quantiles_from_counts`` first counts (group, value) pairs map-side
+    (repetitive values: days, sizes) and ranks by running counts inside
+    the few partitions that hold a wanted rank.
     """
     g = list(group_cols)
     names = list(names) if names else [_qname(q) for q in probs]
@@ -63,19 +84,44 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                 for q, n in zip(probs, names)]
         return base.groupBy(*g).agg(F.count("*").alias("n"), *aggs)
 
-    ordered = (base.repartitionByRange(*[F.col(c) for c in g], F.col("_v"))
-               .sortWithinPartitions(*g, "_v")
-               .withColumn("_p", F.spark_partition_id())
-               .withColumn("_i", F.monotonically_increasing_id()))
-    ordered = cut_lineage(ordered)
+    if preaggregate is None:
+        preaggregate = value_col in df.columns and _few_distinct(df, [value_col])
+    if preaggregate:
+        return _quantiles_from_counts(base, g, probs, names)
+    return _quantiles_from_positions(base, g, probs, names)
+
+
+def _interpolate(picked: DataFrame, g: Sequence[str], names: Sequence[str]) -> DataFrame:
+    out = [F.col(c) for c in g] + [F.col("n")]
+    for name in names:
+        lo_v, hi_v, f = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
+        out.append((lo_v + (hi_v - lo_v) * f).alias(name))
+    return picked.select(*out)
 
-    seg = ordered.groupBy(*g, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_i0"))
-    within = Window.partitionBy(*g) if g else Window.partitionBy()
-    seg = (seg.withColumn("_off", F.sum("_c").over(within.orderBy("_p")) - F.col("_c"))
-              .withColumn("_n", F.sum("_c").over(within)))
-    ranked = ordered.join(seg, on=g + ["_p"], how="inner").withColumn(
-        "_r", F.col("_off") + F.col("_i") - F.col("_i0"))
 
+def _segment_offsets(seg: DataFrame, g: Sequence[str], size: str) -> DataFrame:
+    """Rank offset of every (group, partition) segment and the group size;
+    the window runs over at most groups x partitions rows."""
+    within = Window.partitionBy(*g) if g else Window.partitionBy()
+    return (seg.withColumn("_off", F.sum(size).over(within.orderBy("_p")) - F.col(size))
+               .withColumn("_n", F.sum(size).over(within)))
+
+
+def _quantiles_from_positions(base: DataFrame, g: Sequence[str], probs, names) -> DataFrame:
+    """Mostly-distinct values: one range shuffle of the rows; a row's rank
+    is its segment offset plus its position in the sorted partition (row
+    ids are frozen with the data), so only the rows at wanted ranks
+    survive a filter after a broadcast join with the small segment table."""
+    ordered = cut_lineage(base.repartitionByRange(*[F.col(c) for c in g], F.col("_v"))
+                          .sortWithinPartitions(*g, "_v")
+                          .withColumn("_p", F.spark_partition_id())
+                          .withColumn("_i", F.monotonically_increasing_id()))
+    seg = ordered.groupBy(*g, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_i0"))
+    seg = _segment_offsets(seg, g, "_c")
+    o, s = ordered.alias("o"), seg.alias("s")
+    ranked = o.join(s, _null_safe_on(o, s, list(g) + ["_p"]), "inner").select(
+        *[F.col(f"o.{c}").alias(c) for c in g], "o._v", "s._n",
+        (F.col("s._off") + F.col("o._i") - F.col("s._i0")).alias("_r"))
     keep = None
     aggs = [F.first("_n").alias("n")]
     for q, name in zip(probs, names):
@@ -85,12 +131,39 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         aggs += [F.max(F.when(F.col("_r") == lo, F.col("_v"))).alias(f"_{name}_lo"),
                  F.max(F.when(F.col("_r") == hi, F.col("_v"))).alias(f"_{name}_hi"),
                  F.first(frac).alias(f"_{name}_f")]
-    picked = ranked.where(keep).groupBy(*g).agg(*aggs)
-    out = [F.col(c) for c in g] + [F.col("n")]
-    for name in names:
-        lo_v, hi_v, f = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
-        out.append((lo_v + (hi_v - lo_v) * f).alias(name))
-    return picked.select(*out)
+    return _interpolate(ranked.where(keep).groupBy(*g).agg(*aggs), g, names)
+
+
+def _quantiles_from_counts(base: DataFrame, g: Sequence[str], probs, names) -> DataFrame:
+    """Repetitive values: count (group, value) pairs first (map-side), range
+    partition the pairs, and find each wanted rank with a running count
+    inside the few segments that contain one."""
+    counted = base.groupBy(*g, "_v").agg(F.count("*").alias("_c"))
+    ordered = cut_lineage(counted.repartitionByRange(*[F.col(c) for c in g], F.col("_v"))
+                          .withColumn("_p", F.spark_partition_id()))
+    seg = _segment_offsets(ordered.groupBy(*g, "_p").agg(F.sum("_c").alias("_pc")), g, "_pc")
+    wanted = []
+    for i, q in enumerate(probs):
+        lo, hi, frac = quantile_position(F.col("_n"), q)
+        wanted.append(F.struct(F.lit(2 * i).alias("tag"), lo.cast("long").alias("r"), frac.alias("f")))
+        wanted.append(F.struct(F.lit(2 * i + 1).alias("tag"), hi.cast("long").alias("r"), frac.alias("f")))
+    targets = (seg.select(*g, "_p", "_off", "_pc", "_n", F.explode(F.array(*wanted)).alias("_w"))
+                  .where((F.col("_w.r") >= F.col("_off")) & (F.col("_w.r") < F.col("_off") + F.col("_pc")))
+                  .select(*g, "_p", "_n", F.col("_w.tag").alias("_tag"), (F.col("_w.r") - F.col("_off")).alias("_lr"),
+                          F.col("_w.f").alias("_f")))
+    o, t = ordered.alias("o"), targets.alias("t")
+    cand = o.join(t, _null_safe_on(o, t, list(g) + ["_p"]), "inner").select(
+        *[F.col(f"o.{c}").alias(c) for c in g], F.col("o._p").alias("_p"), "o._v", "o._c", "t._n", "t._tag",
+        "t._lr", "t._f")
+    run = Window.partitionBy(*g, "_p", "_tag").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cand = cand.withColumn("_cum", F.sum("_c").over(run))
+    hit = cand.where((F.col("_cum") - F.col("_c") <= F.col("_lr")) & (F.col("_lr") < F.col("_cum")))
+    aggs = [F.first("_n").alias("n")]
+    for i, name in enumerate(names):
+        aggs += [F.max(F.when(F.col("_tag") == 2 * i, F.col("_v"))).alias(f"_{name}_lo"),
+                 F.max(F.when(F.col("_tag") == 2 * i + 1, F.col("_v"))).alias(f"_{name}_hi"),
+                 F.max(F.when(F.col("_tag") == 2 * i, F.col("_f"))).alias(f"_{name}_f")]
+    return _interpolate(hit.groupBy(*g).agg(*aggs), g, names)
 
 
 def median(df: DataFrame, value_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -122,8 +195,9 @@ def summary_stats(df: DataFrame, cols: Sequence[str], digits: int | None = 2) ->
     moments = long.groupBy("column_name").agg(
         F.avg("value").alias("Mean"), F.stddev_samp("value").alias("Std_Dev"),
         F.min("value").alias("Min"), F.max("value").alias("Max"))
+    integral = sum(_few_distinct(df, [c]) for c in cols)
     qs = exact_quantiles(long, "value", [0.5, 0.25, 0.75], ["column_name"],
-                         names=["Median", "P25", "P75"]).drop("n")
+                         names=["Median", "P25", "P75"], preaggregate=2 * integral >= len(cols)).drop("n")
     out = moments.join(qs, "column_name", "left")
     rnd = (lambda c: pandas_round(c, digits)) if digits is not None else (lambda c: c)
     return out.select("column_name", *[rnd(F.col(c)).alias(c) for c in

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,7 +66,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor
-    loss and freezes partition contents for multi-pass operators."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the reliable checkpoint
+    folder and read it back (never ``localCheckpoint``).  Unlike an RDD
+    checkpoint, which computes the plan once to count and again to write,
+    this computes it once.  The result survives executor loss, and columns
+    derived from partition ids are frozen with the data."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = root.rstrip("/") + "/tables/" + uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

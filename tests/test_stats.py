@@ -16,13 +16,16 @@ def _values(seed=7, n=3000):
     return g, v
 
 
+@pytest.mark.parametrize("preaggregate", [False, True])
 @pytest.mark.parametrize("partitions", [1, 16])
-def test_exact_quantiles_match_numpy(spark, partitions):
+def test_exact_quantiles_match_numpy(spark, partitions, preaggregate):
     g, v = _values()
+    if preaggregate:
+        v = np.where(np.isnan(v), np.nan, np.floor(v / 10.0))   # repetitive values
     pdf_rows = [(str(a), None if np.isnan(b) else float(b)) for a, b in zip(g, v)]
     df = spark.createDataFrame(pdf_rows, "g string, v double").repartition(partitions)
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {r.g: r for r in st.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    got = {r.g: r for r in st.exact_quantiles(df, "v", probs, ["g"], preaggregate=preaggregate).collect()}
     for key in "abcd":
         x = v[(g == key) & ~np.isnan(v)]
         want = np.quantile(x, probs)
@@ -47,8 +50,11 @@ def test_hot_group_is_spread_across_partitions(spark):
     base = df.repartitionByRange(8, "g", "v")
     sizes = base.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(sizes) > 1
-    r = st.exact_quantiles(df, "v", [0.5], ["g"], names=["m"]).first()
-    assert r.m == float(np.median(np.arange(20000) % 977))
+    for pre in (False, True):
+        r = st.exact_quantiles(df, "v", [0.5], ["g"], names=["m"], preaggregate=pre).first()
+        assert r.m == float(np.median(np.arange(20000) % 977))
+    ints = df.select("g", F.col("v").cast("int").alias("v"))
+    assert st._few_distinct(ints, ["v"]) and not st._few_distinct(df, ["v"])
 
 
 def test_describe_and_summary(spark):
