@@ -30,9 +30,13 @@ def testing_eval(testing: DataFrame, method: str = MATCH_METHOD) -> DataFrame:
             .union(testing.select(F.col("oil_lab").alias("raw")))
             .where(F.col("raw").isNotNull()).distinct())
     mapping = q.label_mapping_frame(vals, "raw", method=method, out="std")
-    s_map = mapping.select(F.col("raw").alias("oil_sampler"), F.col("std").alias("Sampler_Oil_Std"))
-    l_map = mapping.select(F.col("raw").alias("oil_lab"), F.col("std").alias("Lab_Oil_Std"))
-    out = evaluated.join(s_map, "oil_sampler", "left").join(l_map, "oil_lab", "left")
+    # The same mapping frame on both joins: identical broadcast plans, so
+    # Spark reuses one exchange and the scoring runs once.
+    ms, ml = mapping.alias("ms"), mapping.alias("ml")
+    out = (evaluated.join(ms, F.col("oil_sampler") == F.col("ms.raw"), "left")
+                    .join(ml, F.col("oil_lab") == F.col("ml.raw"), "left")
+                    .select(*[F.col(c) for c in evaluated.columns],
+                            F.col("ms.std").alias("Sampler_Oil_Std"), F.col("ml.std").alias("Lab_Oil_Std")))
     out = out.withColumn("Mismatch_Type", q.mismatch_classify("Sampler_Oil_Std", "Lab_Oil_Std"))
     first = ["sample_code", "city_picked", "oil_sampler", "oil_lab"]
     return out.select(*first, *[c for c in out.columns if c not in first])
