@@ -268,6 +268,15 @@ def _integrity_rows(t):
         "Application_ID", "State", "System_Size_kW", "CFA_Sanctioned_Rs")
 
 
+@register("units_excess_rows", """
+SELECT Application_ID, State, Expected_Monthly_Units, Actual_Monthly_Units,
+       Actual_Monthly_Units / Expected_Monthly_Units AS Units_Ratio
+FROM applications WHERE Actual_Monthly_Units IS NOT NULL AND Actual_Monthly_Units / Expected_Monthly_Units > 1.5""")
+def _units_rows(t):
+    a = fe.anomaly_flags(t.applications()).where(F.col("Actual_Monthly_Units").isNotNull() & F.col("Anomaly_Units_Excess"))
+    return a.select("Application_ID", "State", "Expected_Monthly_Units", "Actual_Monthly_Units", "Units_Ratio")
+
+
 @register("anomaly_flags", """
 SELECT count(*) AS n_rows,
   CAST(sum(CASE WHEN CFA_Sanctioned_Rs > 78000 THEN 1 ELSE 0 END) AS BIGINT) AS n_cfa_breach,
@@ -312,6 +321,11 @@ def _cost_gap_pct(t):
         "n_rows", "n_above_20", pct("n_above_20", "n_rows").alias("pct_above_20"))
 
 
+@register("cost_gap_describe", _describe_sql(_GAP, "applications", 2))
+def _cost_gap_describe(t):
+    return st.describe_numeric(fe.cost_gap(t.applications()), "Market_Cost_Gap_Pct", digits=2)
+
+
 @register("cost_gap_histogram", _hist_sql(_GAP, "applications", 50))
 def _cost_gap_hist(t):
     return st.histogram_bins(fe.cost_gap(t.applications()), "Market_Cost_Gap_Pct", 50)
@@ -873,6 +887,14 @@ def _fail_records(t):
     return q.fail_records(q.rule_evaluate(t.testing()), ["sample_code", "oil_sampler", "Pass_Fail", "Failure_Reason"])
 
 
+@register("fail_records_head", _T_EVAL + """
+SELECT sample_code, oil_sampler, Pass_Fail, Failure_Reason FROM t_eval WHERE Pass_Fail = 'FAIL'
+ORDER BY sample_code LIMIT 10""")
+def _fail_head(t):
+    fails = q.fail_records(q.rule_evaluate(t.testing()), ["sample_code", "oil_sampler", "Pass_Fail", "Failure_Reason"])
+    return rk.head_sample(fails, 10, ["sample_code"])
+
+
 @register("label_family", _T_EVAL + f""",
 labels AS (SELECT Sampler_Oil_Std AS label FROM t_eval UNION SELECT Lab_Oil_Std FROM t_eval)
 SELECT label, {O.family_expr('label')} AS family FROM labels WHERE label IS NOT NULL""")
