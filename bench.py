@@ -17,7 +17,6 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -48,11 +47,12 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "3"))
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus)
-    ensure_checkpoint_dir(spark)
-    scratch = os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="tally-bench-")
+    # Bound tables go under the reliable checkpoint folder (the shared
+    # folder on a cluster; a scratch folder only when unset, as here).
+    scratch = os.environ.get("BENCH_SCRATCH") or ensure_checkpoint_dir(spark).rstrip("/") + "/bench"
 
     t0 = time.perf_counter()
-    tables = materialize(spark, sf_dir, os.path.join(scratch, "bound"), min_files=cpus)
+    tables = materialize(spark, sf_dir, scratch + "/bound", min_files=cpus)
     bind_s = time.perf_counter() - t0
 
     times, shuffles = {}, {}
