@@ -151,13 +151,16 @@ def _quantiles_from_counts(base: DataFrame, g: Sequence[str], probs, names) -> D
                   .where((F.col("_w.r") >= F.col("_off")) & (F.col("_w.r") < F.col("_off") + F.col("_pc")))
                   .select(*g, "_p", "_n", F.col("_w.tag").alias("_tag"), (F.col("_w.r") - F.col("_off")).alias("_lr"),
                           F.col("_w.f").alias("_f")))
-    o, t = ordered.alias("o"), targets.alias("t")
-    cand = o.join(t, _null_safe_on(o, t, list(g) + ["_p"]), "inner").select(
-        *[F.col(f"o.{c}").alias(c) for c in g], F.col("o._p").alias("_p"), "o._v", "o._c", "t._n", "t._tag",
-        "t._lr", "t._f")
-    run = Window.partitionBy(*g, "_p", "_tag").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_cum", F.sum("_c").over(run))
-    hit = cand.where((F.col("_cum") - F.col("_c") <= F.col("_lr")) & (F.col("_lr") < F.col("_cum")))
+    # Running counts only inside the partitions that hold a wanted rank,
+    # once per partition; the wanted ranks are attached afterwards.
+    o, tp = ordered.alias("o"), targets.select(*g, "_p").distinct().alias("tp")
+    cand = o.join(tp, _null_safe_on(o, tp, list(g) + ["_p"]), "left_semi")
+    run = Window.partitionBy(*g, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cand = cand.withColumn("_cum", F.sum("_c").over(run)).alias("c")
+    t = targets.alias("t")
+    hit = cand.join(t, _null_safe_on(cand, t, list(g) + ["_p"]), "inner").select(
+        *[F.col(f"c.{c}").alias(c) for c in g], "c._v", "c._c", "c._cum", "t._n", "t._tag", "t._lr", "t._f")
+    hit = hit.where((F.col("_cum") - F.col("_c") <= F.col("_lr")) & (F.col("_lr") < F.col("_cum")))
     aggs = [F.first("_n").alias("n")]
     for i, name in enumerate(names):
         aggs += [F.max(F.when(F.col("_tag") == 2 * i, F.col("_v"))).alias(f"_{name}_lo"),
@@ -187,17 +190,25 @@ def describe_numeric(df: DataFrame, value_col: str, group_cols: Sequence[str] =
 
 def summary_stats(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> DataFrame:
     """A5: Mean/Median/Std/Min/Max/P25/P75 per column, one row per column.
-    The columns are unpivoted into (column_name, value) first so that ONE
-    sort serves every column's quantiles."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        ids=[], values=list(cols), variableColumnName="column_name", valueColumnName="value")
-    long = long.where(F.col("value").isNotNull())
+    Columns are unpivoted into (column_name, value) so that one quantile
+    pass serves several columns: repetitive (integral/date) columns share
+    the count-based plan, floating columns the position-based one."""
+    def long_of(cs):
+        return df.select(*[F.col(c).cast("double").alias(c) for c in cs]).unpivot(
+            ids=[], values=list(cs), variableColumnName="column_name", valueColumnName="value").where(
+            F.col("value").isNotNull())
+
+    long = long_of(cols)
     moments = long.groupBy("column_name").agg(
         F.avg("value").alias("Mean"), F.stddev_samp("value").alias("Std_Dev"),
         F.min("value").alias("Min"), F.max("value").alias("Max"))
-    integral = sum(_few_distinct(df, [c]) for c in cols)
-    qs = exact_quantiles(long, "value", [0.5, 0.25, 0.75], ["column_name"],
-                         names=["Median", "P25", "P75"], preaggregate=2 * integral >= len(cols)).drop("n")
+    parts = []
+    for pre in (True, False):
+        cs = [c for c in cols if _few_distinct(df, [c]) == pre]
+        if cs:
+            parts.append(exact_quantiles(long_of(cs), "value", [0.5, 0.25, 0.75], ["column_name"],
+                                         names=["Median", "P25", "P75"], preaggregate=pre).drop("n"))
+    qs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = moments.join(qs, "column_name", "left")
     rnd = (lambda c: pandas_round(c, digits)) if digits is not None else (lambda c: c)
     return out.select("column_name", *[rnd(F.col(c)).alias(c) for c in
