@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import (count_if, mean_of_flag, month_key, null_false, pandas_round, pct,
                                threshold_flag, try_div)
 from .features import payback_category, payback_months
-from .ranking import fixed_order
+from .ranking import cumulative_share, fixed_order
 from .stats import exact_quantiles
 
 # Thresholds the reports apply.
@@ -204,9 +204,10 @@ def concentration_table(df: DataFrame, key: str = "State", where: Column | None
     src = df.where(where) if where is not None else df
     counts = src.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(count_name))
     total = Window.partitionBy()
-    order = Window.orderBy(F.col(count_name).desc(), F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
     out = counts.withColumn("Share_Pct", pandas_round(F.col(count_name) / F.sum(count_name).over(total) * 100.0, 2))
-    return out.withColumn("Cumulative_Pct", pandas_round(F.sum("Share_Pct").over(order), 2)).orderBy(
+    order = [(count_name, False), (key, True)]
+    out = cumulative_share(out, order, "Share_Pct", "Cumulative_Pct")
+    return out.withColumn("Cumulative_Pct", pandas_round("Cumulative_Pct", 2)).orderBy(
         F.col(count_name).desc(), F.col(key))
 
 
