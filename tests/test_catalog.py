@@ -39,14 +39,19 @@ def _bag(rows, cols):
 WITH_ORACLE = [n for n in catalog.QUERIES if catalog.QUERIES[n][1] is not None]
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE"}
+
+
 @pytest.mark.parametrize("name", WITH_ORACLE)
 def test_query_matches_oracle(spark, duck, name):
     df = catalog.QUERIES[name][0](Tables(spark, SF))
     rows = [tuple(r) for r in df.collect()]
-    res = duck.execute(catalog.oracle_sql(name))
-    ocols = [d[0] for d in res.description]
+    rel = duck.sql(catalog.oracle_sql(name))
+    ocols = list(rel.columns)
     assert sorted(df.columns) == sorted(ocols)
-    assert _bag(rows, df.columns) == _bag(res.fetchall(), ocols)
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == {c: str(t) for c, t in zip(ocols, rel.types)}
+    assert _bag(rows, df.columns) == _bag(rel.fetchall(), ocols)
 
 
 @pytest.mark.parametrize("name", list(R.REPORTS))
