@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql.types import BooleanType, DateType, IntegralType
 from pyspark.sql import functions as F
 
-from ..functions.exprs import col, pandas_round, quantile_position, try_div
+from ..functions.exprs import pandas_round, quantile_position, try_div
 from ..session import cut_lineage
 
 
