@@ -1,8 +1,9 @@
 """String similarity for label standardisation.
 
-``gestalt_match`` is the one Python function in the library: Ratcliff /
-Obershelp ("gestalt") matching as the standard library's ``difflib``
-computes it, applied as an Arrow-batched pandas UDF.  Callers feed it
+``gestalt_match`` / ``gestalt_cascade`` are the one Python function in the
+library: Ratcliff / Obershelp ("gestalt") matching as the standard
+library's ``difflib`` computes it, applied as an Arrow-batched pandas UDF
+(the cascade runs both match stages in one pass).  Callers feed it
 DISTINCT values only, so its cost is distinct labels x vocabulary, not
 rows.  ``levenshtein_match`` is the all-native alternative (JVM
 ``levenshtein`` inside a higher-order function, no Python at all).
@@ -53,3 +54,33 @@ def levenshtein_match(values: Column, candidates: Sequence[str], cutoff: float =
                                  (-c["i"]).alias("neg_i"))))
     # (score, key) decide; equal keys resolve to the first index, like list.index.
     return F.when(best["s"] >= F.lit(cutoff), -best["neg_i"])
+
+
+def gestalt_cascade(skip: Column, first: Column, second: Column, first_cands: Sequence[str],
+                    second_cands: Sequence[str], cutoff: float = 0.8) -> Column:
+    """One Python pass for the two-stage match: best of ``first_cands`` for
+    ``first``, else best of ``second_cands`` for ``second``; rows flagged
+    ``skip`` (already settled) are not scored.  Returns the index (the two
+    candidate lists are aligned) or NULL."""
+    c1, c2 = list(first_cands), list(second_cands)
+
+    @F.pandas_udf(IntegerType())
+    def _cascade(sk: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import get_close_matches
+
+        def one(s, x, y):
+            if s:
+                return None
+            if isinstance(x, str):
+                m = get_close_matches(x, c1, n=1, cutoff=cutoff)
+                if m:
+                    return c1.index(m[0])
+            if isinstance(y, str):
+                m = get_close_matches(y, c2, n=1, cutoff=cutoff)
+                if m:
+                    return c2.index(m[0])
+            return None
+
+        return pd.Series([one(s, x, y) for s, x, y in zip(sk, a, b)], dtype="Int32")
+
+    return _cascade(skip, first, second)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (col, collapse_ws, contains_any, day_first_date, null_false,
                                pandas_round, py_float, py_strip, py_title, remove_ws)
-from ..functions.similarity import gestalt_match, levenshtein_match
+from ..functions.similarity import gestalt_cascade, gestalt_match, levenshtein_match
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for equal results.
@@ -126,14 +126,15 @@ def label_mapping_frame(distinct_raw: DataFrame, raw: str, vocabulary: Sequence[
     staged = distinct_raw.select(F.col(raw), cleaned.alias("_cleaned"), lower.alias("_lower"),
                                  nospace.alias("_nospace"))
     staged = staged.withColumn("_ov", F.try_element_at(_map_literal(overrides), F.col("_nospace")))
-    # Score only what the override did not settle.
-    staged = staged.withColumn("_m1", F.when(F.col("_ov").isNull(), match(F.col("_nospace"), v_nospace, cutoff)))
-    staged = staged.withColumn("_m2", F.when(F.col("_ov").isNull() & F.col("_m1").isNull(),
-                                             match(F.col("_lower"), v_lower, cutoff)))
-    std = F.coalesce(F.col("_ov"),
-                     F.try_element_at(names, F.col("_m1") + 1),
-                     F.try_element_at(names, F.col("_m2") + 1),
-                     py_title(F.col("_cleaned")))
+    if method == "gestalt":
+        # One Python pass per distinct label; rows the override settled are skipped.
+        idx = gestalt_cascade(F.col("_ov").isNotNull(), F.col("_nospace"), F.col("_lower"), v_nospace, v_lower,
+                              cutoff)
+    else:
+        idx = F.when(F.col("_ov").isNull(), F.coalesce(match(F.col("_nospace"), v_nospace, cutoff),
+                                                       match(F.col("_lower"), v_lower, cutoff)))
+    staged = staged.withColumn("_m", idx)
+    std = F.coalesce(F.col("_ov"), F.try_element_at(names, F.col("_m") + 1), py_title(F.col("_cleaned")))
     return staged.select(F.col(raw), std.alias(out))
 
 
