@@ -10,6 +10,7 @@ Python's ``float`` rejects.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -133,18 +134,24 @@ def remove_ws(c) -> Column:
     return F.regexp_replace(col(c), _WS, "")
 
 
+# Characters whose Unicode titlecase differs from their uppercase ('ß' ->
+# 'Ss', 'ǆ' -> 'ǅ'), derived from Python's own tables.
+_TITLE_SPECIAL = {ch: ch.title() for ch in map(chr, range(sys.maxunicode + 1)) if ch.title() != ch.upper()}
+
+
 def py_title(c) -> Column:
-    """Python ``str.title()``: upper-case a letter that follows a non-cased
+    """Python ``str.title()``: title-case a letter that follows a non-cased
     character, lower-case every other letter (``Multi-Source``, ``3Rd``),
     unlike ``initcap`` which only looks at whitespace."""
     chars = F.split(col(c), "")
     cased = r"[\p{Lu}\p{Ll}\p{Lt}]"
+    special = F.create_map(*[F.lit(x) for kv in _TITLE_SPECIAL.items() for x in kv])
     return F.array_join(
         F.transform(
             chars,
             lambda ch, i: F.when(
                 (i == 0) | ~F.get(chars, i - 1).rlike(cased),  # previous character
-                F.upper(ch),
+                F.coalesce(F.try_element_at(special, ch), F.upper(ch)),
             ).otherwise(F.lower(ch)),
         ),
         "",
