@@ -113,11 +113,12 @@ def day_first_date(c, formats: Sequence[str] = ("dd/MM/yyyy", "d/M/yyyy", "dd-MM
 
 
 # ------------------------------------------------------------- strings
-_WS = r"(?U)\s+"
 
 
-# Every character Python's str.isspace() accepts (derived, not listed).
+# Every character Python's str.isspace() accepts (derived, not listed),
+# and the same set as a Java regex class: Python's `\s` on str patterns.
 PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+_WS = "[" + "".join(f"\\x{{{ord(ch):04x}}}" for ch in PY_WHITESPACE) + "]+"
 
 
 def py_strip(c) -> Column:

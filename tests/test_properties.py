@@ -12,7 +12,7 @@ from tally.operators import stats as st
 
 SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
-FRAGMENTS = list("abcXYZ 019._-<'\t\xa0eéß") + ["nd", "blq", "inf", "nan", "1_0"]
+FRAGMENTS = list("abcXYZ 019._-<'\t\xa0eéß\x1c\u3000\n") + ["nd", "blq", "inf", "nan", "1_0"]
 TEXT = hs.lists(hs.sampled_from(FRAGMENTS), max_size=8).map("".join)
 NUMERIC_TEXT = hs.one_of(TEXT, hs.floats(allow_nan=False, allow_infinity=False, width=32).map(repr),
                          hs.integers(-10000, 10000).map(str), hs.just("1_000"), hs.just("1d"))
@@ -92,3 +92,14 @@ def test_quantiles_match_numpy(spark, rows, pre):
         x = np.array([v for g, v in rows if g == key], dtype=float)
         for p, w in zip(probs, np.quantile(x, probs)):
             assert got[key][st._qname(p)] == pytest.approx(w, abs=1e-9)
+
+
+@SETTINGS
+@given(hs.lists(TEXT, min_size=1, max_size=40))
+def test_clean_label_matches_python(spark, values):
+    import re
+
+    cleaned, lower, nospace = q.clean_label("x")
+    want = [re.sub(r"\s+", " ", v).strip() for v in values]
+    assert _col(spark, values, cleaned) == want
+    assert _col(spark, values, nospace) == [re.sub(r"\s+", "", w.lower()) for w in want]
