@@ -32,8 +32,12 @@ from .bindings import Tables
 
 def sample_form_reports(tables: Tables) -> dict[str, DataFrame]:
     """Q1-Q5 of the sample-form workload."""
-    c1 = cut_lineage(W.collection_std(tables.collection()))
-    t1 = cut_lineage(W.testing_eval(tables.testing()))
+    col, tst = tables.collection(), tables.testing()
+    mapping = cut_lineage(W.label_map([col.select(F.col("oil_raw").alias("raw")),
+                                       tst.select(F.col("oil_sampler").alias("raw")),
+                                       tst.select(F.col("oil_lab").alias("raw"))]))
+    c1 = cut_lineage(W.collection_std(col, mapping=mapping))
+    t1 = cut_lineage(W.testing_eval(tst, mapping=mapping))
     master = cut_lineage(q.shelf_life(q.link_master(c1, t1, "sample_code"), "mfg_raw", "expiry_raw"))
     oil_counts = A.value_counts(c1, "Oil_Type_Standardized", name="Sample_Count").withColumnRenamed(
         "Oil_Type_Standardized", "Oil_Type")
