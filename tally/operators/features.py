@@ -154,13 +154,13 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def assign_codes(df: DataFrame, key: str, prefix: str = "ST", width: int = 2, code: str = "State_Code") -> DataFrame:
-    """Sorted distinct keys -> prefix + zero-padded ordinal (ST01 ...).
-    The ordinal window runs over the DISTINCT key set only."""
-    from pyspark.sql import Window
+    """Sorted distinct keys -> prefix + zero-padded ordinal (ST01 ...); the
+    ordinal is a distributed global row number over the distinct keys."""
+    from .ranking import global_row_number
 
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    return keys.withColumn(code, F.concat(F.lit(prefix), F.lpad(
-        F.row_number().over(Window.orderBy(key)).cast("string"), width, "0")))
+    ranked = global_row_number(keys, [key], "_rn")
+    return ranked.select(key, F.concat(F.lit(prefix), F.lpad(F.col("_rn").cast("string"), width, "0")).alias(code))
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, cols: Sequence[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_ratio, sql_round
+from ..session import cut_lineage
 
 
 def _order(spec: Sequence[tuple[str | Column, bool]]) -> list[Column]:
@@ -96,3 +97,35 @@ def fixed_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     order list is configuration (bounded), so it is broadcast."""
     dim = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(order)], f"`{key}` string, _ord int")
     return df.join(F.broadcast(dim), key, "inner").orderBy("_ord").drop("_ord")
+
+
+def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number",
+                      running_sum: str | None = None, sum_name: str = "running_sum") -> DataFrame:
+    """1-based position of every row in the ascending order of ``order``
+    (ties in any order), optionally with the running sum of ``running_sum``
+    in that order - without a single-partition window.
+
+    The rows are range-partitioned on the order columns and frozen with
+    their partition id and row id in the checkpoint folder; per-partition
+    counts (and sums) give each partition's offset through a window over at
+    most ``partitions`` rows; a row's position is its offset plus its place
+    inside the sorted partition.  The running sum inside a partition is a
+    window partitioned by that partition, so no task holds more than one
+    range partition."""
+    frozen = cut_lineage(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+                         .withColumn("_p", F.spark_partition_id())
+                         .withColumn("_i", F.monotonically_increasing_id()))
+    aggs = [F.count("*").alias("_c"), F.min("_i").alias("_i0")]
+    if running_sum:
+        aggs.append(F.sum(running_sum).alias("_s"))
+    seg = frozen.groupBy("_p").agg(*aggs)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    if running_sum:
+        seg = seg.withColumn("_soff", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    out = frozen.join(seg, "_p", "inner").withColumn(name, F.col("_off") + F.col("_i") - F.col("_i0") + 1)
+    if running_sum:
+        within = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn(sum_name, F.col("_soff") + F.sum(running_sum).over(within))
+    drop = ["_p", "_i", "_c", "_i0", "_off", "_s", "_soff"]
+    return out.drop(*[c for c in drop if c in out.columns])

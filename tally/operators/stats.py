@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import pandas_round, quantile_position, try_div
 from ..session import cut_lineage
+from .ranking import global_row_number
 
 
 def attach_row(df: DataFrame, one_row: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -226,12 +227,10 @@ def pearson(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> Da
 
 
 def gini(grouped: DataFrame, value_col: str) -> DataFrame:
-    """Gini of an already-grouped measure (one row per entity): sort
-    ascending, (n + 1 - 2 * sum(cumsum) / total) / n, using
-    sum(cumsum) = (n + 1) * total - sum(i * x_i).  The rank window has no
-    partition key on purpose: its input is one row per entity."""
-    ranked = grouped.select(F.col(value_col).cast("double").alias("x")).withColumn(
-        "i", F.row_number().over(Window.orderBy(F.col("x").asc())))
+    """Gini of a per-entity measure: sort ascending, (n + 1 - 2 * sum(cumsum)
+    / total) / n, using sum(cumsum) = (n + 1) * total - sum(i * x_i).  The
+    ranks i come from ``global_row_number`` (no single-task window)."""
+    ranked = global_row_number(grouped.select(F.col(value_col).cast("double").alias("x")), ["x"], "i")
     agg = ranked.agg(F.count("*").alias("n"), F.sum("x").alias("total"),
                      F.sum(F.col("i") * F.col("x")).alias("ix"))
     cum_sum = (F.col("n") + 1) * F.col("total") - F.col("ix")
@@ -242,13 +241,11 @@ def gini(grouped: DataFrame, value_col: str) -> DataFrame:
 
 def lorenz_points(grouped: DataFrame, value_col: str) -> DataFrame:
     """(population share, cumulative value share) after ascending sort,
-    plus the origin point; input is one row per entity."""
-    order = Window.orderBy(F.col("x").asc())
-    everything = Window.partitionBy()
-    pts = grouped.select(F.col(value_col).cast("double").alias("x")).select(
-        F.row_number().over(order).alias("i"),
-        F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
-        F.count("*").over(everything).alias("n"), F.sum("x").over(everything).alias("total"))
+    plus the origin point; ranks and running sums are distributed."""
+    vals = grouped.select(F.col(value_col).cast("double").alias("x"))
+    pts = global_row_number(vals, ["x"], "i", running_sum="x", sum_name="cum")
+    totals = vals.agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+    pts = attach_row(pts, totals, ["n", "total"])
     pts = pts.select(F.col("i").cast("bigint").alias("i"),
                      (F.col("i") / F.col("n")).alias("pop_share"),
                      try_div("cum", "total").alias("cum_share"))

@@ -163,3 +163,16 @@ def test_violation_is_strict(spark, rate, expected):
                                "Loan_Amount_Rs double, Actual_Interest_Rate_pct double, Has_Loan boolean")
     codes = fe.assign_codes(df, "State")
     assert (A.violations(df, codes).count() == 1) is expected
+
+
+def test_global_row_number_and_running_sum(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vals = rng.integers(0, 200, size=3000).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(16)
+    out = rk.global_row_number(df, ["x"], "rn", running_sum="x", sum_name="cum").orderBy("rn").collect()
+    assert [r.rn for r in out] == list(range(1, len(vals) + 1))
+    xs = [r.x for r in out]
+    assert xs == sorted(vals.tolist())
+    assert [r.cum for r in out] == pytest.approx(np.cumsum(sorted(vals)).tolist())
