@@ -7,6 +7,7 @@ Library code never creates its own session; it takes the caller's.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,8 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` when the context has none yet.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is
-    always used.  Only when it is unset (local tests) is a scratch folder
-    created, so that ``DataFrame.checkpoint`` works out of the box.
+    always used; without it a cluster session is refused, since executors
+    could not see each other's files.  Only a single-process session
+    (``local`` master: tests, bench) gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - conf key absent
             configured = None
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master or ""):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tally-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -70,9 +74,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder and read it back (never ``localCheckpoint``).  Unlike an RDD
     checkpoint, which computes the plan once to count and again to write,
     this computes it once.  The result survives executor loss, and columns
-    derived from partition ids are frozen with the data."""
+    derived from partition ids are frozen with the data.  The folder goes
+    when the application ends, or earlier through :func:`drop_frozen`."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = root.rstrip("/") + "/tables/" + uuid.uuid4().hex
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    fs, place = _filesystem(spark, path)
+    fs.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def drop_frozen(df: DataFrame) -> None:
+    """Delete a table made by :func:`cut_lineage` that nothing reads any
+    more (a loop's previous round)."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/") + "/tables/"
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/tables/" in folder and folder.rsplit("/", 2)[1] == "tables":
+            fs, place = _filesystem(spark, root + folder.rsplit("/", 1)[1])
+            fs.delete(place, True)
