@@ -7,12 +7,24 @@
 from __future__ import annotations
 
 import os
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, sharding
+from . import (
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    ngram_jaccard,
+    sentencepiece_codec,
+    sharding,
+    substring_dedup,
+    toxicity,
+)
 
 #: Vocabulary file of the encoding query; a parameter of the operator.
 PIECE_MODEL = os.environ.get("TALLY_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +39,74 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digests(docs, "doc_id", "text", PIECE_MODEL)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = license_scan.scan(docs, "doc_id", "text")
+    base = F.filter("finds", lambda x: x["kind"] == "base")
+    first = F.transform("_base", lambda x: x["first_word"])
+    return found.withColumn("_base", base).select(
+        "doc_id", "n_words", F.size("_base").cast("long").alias("n_base"),
+        F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("_base", lambda x: x["label"]))), ",")
+        .alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+#: A line on more than this share of a site's pages is boilerplate.
+LINE_RATIO = 0.1
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    text = pages.select("page_id", line_dedup.url_host(F.col("url")).alias("host"),
+                        line_dedup.visible_text(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(text, "host", "text", LINE_RATIO)
+
+
+def _html_sql(column: str) -> str:
+    for pattern, new in line_dedup.VISIBLE_TEXT:
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    for name, char in line_dedup.REFERENCES:
+        column = f"replace({column}, '{name}', '{char}')"
+    return column
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    samples = language_id.sample(docs, "doc_id", "lang", "text")
+    out = language_id.identify(docs, "doc_id", "text", samples)
+    held_out = F.coalesce(language_id.fold("doc_id") == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ngram_jaccard.jaccard_components(docs, "doc_id", "text", n=4, similarity=Fraction(85, 100))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return embedding_dedup.near_duplicates(vectors, "vec_id", "embedding", threshold=0.95)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return substring_dedup.remove_repeated(docs, "doc_id", "text", width=20)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    out = toxicity.score(docs, "doc_id", "text", model)
+    held_out = F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = sharding.assign(docs, "doc_id", "text", shards=8)
@@ -36,7 +116,35 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_license_scan": op8_license_scan,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": f"""
+WITH page AS (
+  SELECT page_id, {_html_sql("html")} AS body,
+         nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host
+  FROM pages),
+line AS (
+  SELECT page_id, host, unnest(string_split(body, chr(10))) AS line,
+         unnest(range(len(string_split(body, chr(10))))) AS pos
+  FROM page),
+keyed AS (SELECT *, trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare FROM line),
+common AS (
+  SELECT host, bare FROM keyed JOIN (SELECT host, count(*) AS pages FROM page GROUP BY host) USING (host)
+  WHERE bare <> '' GROUP BY host, bare, pages
+  HAVING count(DISTINCT page_id) >= 3 AND count(DISTINCT page_id) > CAST({LINE_RATIO} AS DOUBLE) * pages),
+judged AS (
+  SELECT k.*, c.bare IS NOT NULL AS dropped FROM keyed k LEFT JOIN common c ON k.host = c.host AND k.bare = c.bare)
+SELECT page_id, host, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS "text",
+       count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
+FROM judged GROUP BY page_id, host""",
+}
