@@ -177,7 +177,7 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5,
     group = Window.partitionBy("_piece")
     pieces = docs.mapInArrow(send, "_piece long, _class long, _n int")
     shared = cut_lineage(pieces.withColumn("_hub", F.min("_class").over(group))
-                         .where(F.max("_class").over(group) != F.col("_hub"))
+                         .withColumn("_last", F.max("_class").over(group)).where("_hub <> _last")
                          .select("_piece", "_class", "_n", "_hub").distinct())
 
     # Sets of the documents involved, one row per fragment.

@@ -16,7 +16,7 @@ one Arrow pass over whole texts without a shuffle.
 
 Defined results: null and empty texts get the classifiers' score of a text
 without words; without a positive or an unlabelled text to learn from every
-score is the prior; a document labelled more than once counts as toxic if
+score is the prior; a repeated id is learnt from once; a document labelled more than once counts as toxic if
 one label says so; null ids and labels are never learnt from.
 """
 
@@ -37,9 +37,10 @@ from .words import LOWER, Words, byte_class, slices, text_buffers
 POSITIVES, UNLABELLED = 4000, 12000
 #: Word buckets (a power of two).
 BUCKETS = 1 << 20
-#: A word counts if it stands in so many texts of the sample.
-LEAST_TEXTS = 4
-MODELS, PART, STEPS, RATE, SHRINK = 3, 0.8, 150, 0.1, 1e-3
+#: A word is a feature if its shares of positive and of unlabelled texts are
+#: so many standard errors apart.
+APART = 5.0
+MODELS, PART, STEPS, RATE, SHRINK = 3, 0.8, 300, 0.05, 1e-4
 
 _WORD = byte_class(rb"[0-9A-Za-z\x80-\xFF]")
 _U = np.uint64
@@ -87,12 +88,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     prior = float(np.clip(toxic / seen, 1e-3, 0.5)) if seen else 1e-3
     order = F.xxhash64(F.col("_id"), F.lit(1))
     some = known.where("_label = 1").select("_id").orderBy(order, "_id").limit(POSITIVES)
-    rest = (docs.where(fold(id_col) != 0).select(F.col(id_col).alias("_id"))
+    rest = (docs.where(fold(id_col) != 0).select(F.col(id_col).alias("_id")).distinct()
             .orderBy(order, "_id").limit(UNLABELLED))
     # bounded by POSITIVES + UNLABELLED rows
     chosen = F.broadcast(some.select("_id", F.lit(True).alias("positive"))
                          .unionByName(rest.select("_id", F.lit(False).alias("positive"))))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
+    texts = texts.dropDuplicates(["_id", "positive"])  # one text per sampled id
     rows = texts.select("positive", "_text").mapInArrow(_fetch, "positive boolean, words binary").collect()
     rows = sorted((bool(r["positive"]), bytes(r["words"])) for r in rows)
     return train([np.frombuffer(w, np.int32) for p, w in rows if p],
@@ -104,9 +106,13 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     texts = positives + unlabelled
     if not positives or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros((1, 0)), np.array([np.log(prior / (1 - prior))]), prior)
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
-    words, where, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count >= LEAST_TEXTS
+    words, where = np.unique(np.concatenate(texts), return_inverse=True)
+    n_p, n_u = len(positives), len(unlabelled)
+    ours = np.bincount(where[:sum(map(len, positives))], minlength=len(words))
+    count = np.bincount(where, minlength=len(words))
+    both = count / (n_p + n_u)
+    error = np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+    keep = np.abs(ours / n_p - (count - ours) / n_u) >= APART * error + 1e-12
     place = np.where(keep, np.cumsum(keep) - 1, -1)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     used = place[where] >= 0
