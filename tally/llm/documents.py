@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 NO_ID = 1 << 62
 
 
+def number(id_col: str, text_col: str) -> Column:
+    """The id, or a number of its own for a document without one."""
+    digest = F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(NO_ID - 1))
+    return F.coalesce(F.col(id_col).cast("long"), digest + F.lit(NO_ID))
+
+
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns ``_id`` (never null) and ``_text``."""
-    digest = F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(NO_ID - 1))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), digest + F.lit(NO_ID)).alias("_id"),
-                     F.col(text_col).alias("_text"))
+    return df.select(number(id_col, text_col).alias("_id"), F.col(text_col).alias("_text"))
 
 
 def given(number: Column) -> Column:

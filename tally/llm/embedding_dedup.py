@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .documents import NO_ID, given
+from .documents import given, number
 
 #: Width of a projection's cells.
 CELL = 1.0
@@ -73,9 +73,7 @@ def _hasher(dimension: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray
 def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: float = 0.95,
                     recall: float = 0.99) -> DataFrame:
     """Columns: the id, ``n_links``, ``component_id`` and ``kept``."""
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(vector_col))
-                                .bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)).alias("_id"),
-                     F.col(vector_col).cast("array<double>").alias("_vec"))
+    rows = df.select(number(id_col, vector_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_vec"))
     # Infinity and NaN times zero is not zero; a null makes the test null.
     sound = F.forall("_vec", lambda x: x.isNotNull() & (x * 0 == 0)) & F.exists("_vec", lambda x: x != 0)
     usable = F.coalesce(sound, F.lit(False))

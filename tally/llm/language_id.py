@@ -224,3 +224,19 @@ def identify(df: DataFrame, id_col: str, text_col: str, samples: dict[str, bytes
                 pa.array(bits, pa.float64())], names=[id_col, "lang_pred", "score", "bits"])
 
     return rows.mapInArrow(run, schema)
+
+
+def keep_identified(df: DataFrame, text_col: str, samples: dict[str, bytes], max_bits: float) -> DataFrame:
+    """Rows of ``df``, all columns, whose text is in a learnt language: not
+    undetermined and at most ``max_bits`` per symbol.  One pass, no shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identifier = _identifier(shared.value)
+        for batch in batches:
+            langs, _, bits = identifier.predict(batch.column(at))
+            keep = [x != UNDETERMINED and b <= max_bits for x, b in zip(langs, bits, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

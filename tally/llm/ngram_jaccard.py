@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .documents import given, numbered
+from .documents import given, number, numbered
 from .words import LOWER, NON_SPACE, Words, mix, ngrams, signed, slices, text_buffers
 
 _U = np.uint64
@@ -140,11 +140,32 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5,
                        similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """Columns: the id, ``n_shingles`` and ``component_id`` (the smallest id
     reachable by links, the row's own included)."""
+    return _components(numbered(df, id_col, text_col), n, similarity).select(
+        given(F.col("_id")).alias(id_col), "n_shingles", given(F.col("_component")).alias("component_id"))
+
+
+def keep_representatives(df: DataFrame, id_col: str, text_col: str, n: int = 5,
+                         similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+    """Rows of ``df``, all columns, without near duplicates: of each component
+    the row with the smallest id stays (once, if it is given several times),
+    and all rows with an empty set."""
+    held = df.withColumns({"_tally_id": number(id_col, text_col), "_tally_copy": F.xxhash64(F.col(text_col))})
+    found = cut_lineage(_components(numbered(df, id_col, text_col), n, similarity))
+    first = found.where((F.col("_id") == F.col("_component")) | (F.col("n_shingles") == 0)).select("_id", "n_shingles")
+    repeated = bool(found.groupBy("_id").count().where("count > 1").limit(1).count())
+    stay = first.groupBy(F.col("_id").alias("_tally_id")).agg(F.max("n_shingles").alias("_tally_n"))
+    out = held.join(stay, "_tally_id")
+    if repeated:
+        turn = Window.partitionBy("_tally_id", "_tally_copy").orderBy("_tally_copy")
+        out = out.withColumn("_tally_turn", F.row_number().over(turn)).where("_tally_turn = 1 or _tally_n = 0")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
+    """``_id``, ``n_shingles`` and ``_component`` of numbered documents."""
     p, q = similarity.numerator, similarity.denominator
     if not 0 < p <= q:
         raise ValueError("the similarity lies in (0, 1]")
-    docs = numbered(df, id_col, text_col)
-
     def classify(batches):
         for batch in batches:
             sizes, prints = [], []
@@ -246,4 +267,4 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5,
         "_class", "n_shingles", F.coalesce("component", "_rep").alias("_component"))
     label = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("_id"))
     return members.join(whole, ["_class", "n_shingles"], "left").select(
-        given(F.col("_id")).alias(id_col), "n_shingles", given(label).alias("component_id"))
+        "_id", "n_shingles", label.alias("_component"))

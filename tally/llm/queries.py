@@ -36,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return sentencepiece_codec.round_trip_digests(docs, "doc_id", "text", PIECE_MODEL)
+    return sentencepiece_codec.round_trip(docs, "doc_id", "text", PIECE_MODEL)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

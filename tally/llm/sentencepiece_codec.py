@@ -23,6 +23,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +118,10 @@ class Codec:
         self.surfaces = ["" if p.type == CONTROL else unknown_surface if p.type == UNKNOWN
                          else p.piece.replace(MARK, " ") for p in model.pieces]
         self.byte_ids = frozenset(i for i, b in enumerate(self.byte_values) if b >= 0)
+        #: Bytes of source text that a piece stands for where spaces are the
+        #: only thing normalised.
+        self.widths = np.array([1 if b >= 0 else len(x.encode("utf-8"))
+                                for b, x in zip(self.byte_values, self.surfaces, strict=True)])
         self.decimals = [str(i) for i in range(len(self.kinds))]
         self.mark_id = self.library.piece_to_id(MARK)
         self.end_id = self.library.eos_id()
@@ -182,7 +187,7 @@ class Codec:
 
     def learn(self, cut: list[list[str]]) -> dict[str, tuple]:
         """Segment the chunks not yet known; entries are (number of ids, ids
-        as text, surface, ids).  Returns the table that holds every chunk of
+        as text, surface, ids as packed 32-bit numbers).  Returns the table that holds every chunk of
         ``cut``; what was used least lately is forgotten between calls."""
         if len(self.young) > CACHE_CHUNKS or self.weight > CACHE_CHARS:
             self.old, self.young = (self.young if self.weight <= CACHE_CHARS else {}), {}
@@ -200,7 +205,8 @@ class Codec:
         spell = self.decimals.__getitem__
         for chunk, ids in zip(missing, self.library.encode(missing, num_threads=1), strict=True):
             ids = ids or [self.mark_id]  # a lone space at the end of a text
-            young[chunk] = (len(ids), " ".join(map(spell, ids)), self.surface(ids), ids)
+            young[chunk] = (len(ids), " ".join(map(spell, ids)), self.surface(ids),
+                            np.array(ids, np.int32).tobytes())
         return young
 
     def surface(self, ids: list[int]) -> str:
@@ -233,31 +239,43 @@ class Codec:
             text = text[1:]
         return text
 
-    def spans(self, text: str, table: dict[str, tuple]) -> tuple[list[int], list[int], list[int]]:
+    def ids(self, text: str, table: dict[str, tuple]) -> np.ndarray:
+        return np.frombuffer(b"".join([table[c][3] for c in self.chunks(text)]), np.int32)
+
+    def spans(self, text: str, table: dict[str, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text and each piece's byte span in the original.  Byte
         pieces of one character share that character's span."""
+        ids = self.ids(text, table)
+        if not self.plain(text) or (ids == self.library.unk_id()).any():
+            return ids, *self._aligned(text, ids)
+        end = np.cumsum(self.widths[ids]) - int(self.dummy)
+        begin = np.maximum(end - self.widths[ids], 0)
+        spelt = np.flatnonzero(np.isin(ids, list(self.byte_ids))) if len(ids) else ids
+        if len(spelt):
+            raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+            leads = np.flatnonzero((raw & 0xC0) != 0x80)
+            char = np.searchsorted(leads, begin[spelt], side="right") - 1
+            begin[spelt], end[spelt] = leads[char], np.append(leads, len(raw))[char + 1]
+        return ids, begin, end
+
+    def _aligned(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans through the normaliser's character alignment."""
         normal, begin, end = self.normalise(text)
-        ids: list[int] = []
-        begins: list[int] = []
-        ends: list[int] = []
-        at = 0
-        for chunk in re.findall(" +[^ ]*", normal):
-            run = 0  # bytes still to come of a character spelt in bytes
-            for i in table[chunk[1:]][3]:
-                ids.append(i)
-                if self.byte_values[i] >= 0:
-                    if run == 0:
-                        run = len(normal[at].encode("utf-8"))
-                    size, run = 1, run - 1
-                    begins.append(begin[at])
-                    ends.append(end[at])
-                    at += run == 0
-                    continue
-                size = len(self.surfaces[i]) if self.kinds[i] != UNKNOWN else 1
+        begins, ends = [], []
+        at = run = 0  # run: bytes still to come of a character spelt in bytes
+        for i in ids.tolist():
+            if self.byte_values[i] >= 0:
+                run = run or len(normal[at].encode("utf-8"))
                 begins.append(begin[at])
-                ends.append(end[at + size - 1])
-                at += size
-        return ids, begins, ends
+                ends.append(end[at])
+                run -= 1
+                at += run == 0
+                continue
+            size = len(self.surfaces[i]) if self.kinds[i] != UNKNOWN else 1
+            begins.append(begin[at])
+            ends.append(end[at + size - 1])
+            at += size
+        return np.array(begins, np.int64), np.array(ends, np.int64)
 
 
 def _utf8(run: bytearray) -> str:
@@ -319,22 +337,24 @@ def encode(df: DataFrame, id_col: str, text_col: str, model_path: str) -> DataFr
             for group in _groups(texts):
                 table = codec.learn([codec.chunks(t) for t in group])
                 out = [codec.spans(t, table) for t in group]
-                for t, (ids, begins, ends) in zip(group, out, strict=True):
-                    size = len(t.encode("utf-8"))
-                    ids.append(codec.end_id)
-                    begins.append(size)
-                    ends.append(size)
+                sizes = [len(t.encode("utf-8")) for t in group]
+                last = [[codec.end_id] * len(group), sizes, sizes]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(done, len(group)),
-                    pa.array([x[0] for x in out], pa.list_(pa.int32())),
-                    pa.array([x[1] for x in out], pa.list_(pa.int64())),
-                    pa.array([x[2] for x in out], pa.list_(pa.int64())),
+                    *[_lists([np.append(x[k], z) for x, z in zip(out, last[k], strict=True)], kind)
+                      for k, kind in enumerate((np.int32, np.int64, np.int64))],
                 ], names=[id_col, "ids", "begins", "ends"])
                 done += len(group)
 
     return rows.mapInArrow(run, schema)
 
 
+def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    flat = np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def decode(df: DataFrame, id_col: str, ids_col: str, model_path: str) -> DataFrame:
     """One row per input row: the id column and ``text``."""
     proto = _shared(df, model_path)
@@ -351,24 +371,26 @@ def decode(df: DataFrame, id_col: str, ids_col: str, model_path: str) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
-def round_trip_digests(df: DataFrame, id_col: str, text_col: str, model_path: str) -> DataFrame:
-    """Encode and decode in one pass, keeping digests only: ``n_tokens``,
-    ``ids_sha256`` (decimal ids joined by one space) and ``decoded_sha256``.
-    """
+def round_trip(df: DataFrame, id_col: str, text_col: str, model_path: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: ``n_tokens``, ``ids_sha256`` (decimal
+    ids joined by one space) and ``decoded_sha256``, and on request the
+    ``ids`` themselves; the end id counts."""
     proto = _shared(df, model_path)
     rows = df.select(F.col(id_col), F.col(text_col).alias("_text"))
     schema = T.StructType([rows.schema[0], T.StructField("n_tokens", T.LongType(), False),
                            T.StructField("ids_sha256", T.StringType(), False),
-                           T.StructField("decoded_sha256", T.StringType(), False)])
+                           T.StructField("decoded_sha256", T.StringType(), False)]
+                          + [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)] * with_ids)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(proto.value)
-        tail = str(codec.end_id)
+        tail, packed_tail = str(codec.end_id), np.array([codec.end_id], np.int32).tobytes()
         for batch in batches:
-            counts, id_digests, text_digests = [], [], []
+            done = 0
             for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
                 cut = [codec.chunks(t) for t in group]
                 table = codec.learn(cut)
+                counts, id_digests, text_digests, packed = [], [], [], []
                 for chunks in cut:
                     found = [table[c] for c in chunks]
                     counts.append(sum([x[0] for x in found]) + 1)
@@ -378,9 +400,15 @@ def round_trip_digests(df: DataFrame, id_col: str, text_col: str, model_path: st
                     if codec.dummy and surface.startswith(" "):
                         surface = surface[1:]
                     text_digests.append(hashlib.sha256(surface.encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts, pa.int64()),
-                pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string()),
-            ], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        packed += [b"".join([x[3] for x in found]), packed_tail]
+                columns = [batch.column(0).slice(done, len(group)), pa.array(counts, pa.int64()),
+                           pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+                if with_ids:
+                    ends = np.cumsum([0] + counts).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(
+                        pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                done += len(group)
 
     return rows.mapInArrow(run, schema)
