@@ -119,9 +119,9 @@ class Parser:
             if edges:
                 table[state, list(edges)] = list(edges.values())
         table[:, 0] = np.arange(len(step))
-        self.first = table[1].copy()
-        self.first[self.first == 0] = 1  # a symbol the sample lacks is a phrase
-        self.first[0] = 1
+        self.first = table[1].copy()  # padding stays at the root
+        self.unseen = (self.first == 0).astype(np.int64)  # such a symbol is a phrase of its own
+        self.first[self.first == 0] = 1
         self.table, self.width = table.ravel(), width
         self.bits = float(np.log2(max(len(text), 2)))
 
@@ -134,9 +134,9 @@ class Parser:
         for symbol in columns:
             new = self.table[state * self.width + symbol]
             stop = new == 0
-            count += stop
+            count += (stop & (state != 1)) + self.unseen[symbol]
             state = np.where(stop, self.first[symbol], new).astype(np.int64)
-        return count + (columns[0] > 0)  # the phrase that the segment's end closes
+        return count + (state != 1)  # the phrase that the segment's end closes
 
 
 class Identifier:
