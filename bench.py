@@ -31,7 +31,8 @@ HEADLINE = [
     "s3_top_vendors_sql", "missing_profile", "summary_stats", "iqr_winsorize", "funnel", "stage_days_by",
     "resolution_table", "concentration_table", "gini", "pivot_mean", "payback_by_category", "state_summary",
     "vendor_summary", "violations_by_state", "enriched", "standardize_labels", "rule_evaluate",
-    "mismatch_classify", "link_master", "city_fail_rate", "key_overlap",
+    "mismatch_classify", "link_master", "city_fail_rate", "key_overlap", "oil_counts", "top_n_then_breakdown",
+    "label_family", "group_stats",
 ]
 
 

@@ -11,6 +11,7 @@ Python's ``float`` rejects.
 from __future__ import annotations
 
 import sys
+from functools import lru_cache
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -135,9 +136,12 @@ def remove_ws(c) -> Column:
     return F.regexp_replace(col(c), _WS, "")
 
 
-# Characters whose Unicode titlecase differs from their uppercase ('ß' ->
-# 'Ss', 'ǆ' -> 'ǅ'), derived from Python's own tables.
-_TITLE_SPECIAL = {ch: ch.title() for ch in map(chr, range(sys.maxunicode + 1)) if ch.title() != ch.upper()}
+@lru_cache(maxsize=1)
+def _title_special() -> dict[str, str]:
+    """Characters whose Unicode titlecase differs from their uppercase
+    ('ß' -> 'Ss', 'ǆ' -> 'ǅ'), derived from Python's own tables on first
+    use."""
+    return {ch: ch.title() for ch in map(chr, range(sys.maxunicode + 1)) if ch.title() != ch.upper()}
 
 
 def py_title(c) -> Column:
@@ -146,7 +150,7 @@ def py_title(c) -> Column:
     unlike ``initcap`` which only looks at whitespace."""
     chars = F.split(col(c), "")
     cased = r"[\p{Lu}\p{Ll}\p{Lt}]"
-    special = F.create_map(*[F.lit(x) for kv in _TITLE_SPECIAL.items() for x in kv])
+    special = F.create_map(*[F.lit(x) for kv in _title_special().items() for x in kv])
     return F.array_join(
         F.transform(
             chars,
@@ -186,6 +190,42 @@ def py_float(c) -> Column:
                   F.regexp_replace(s, "_", "").try_cast("double"))
 
 
+def py_fixed4(x: Column) -> Column:
+    """Python ``f"{x:.4f}"`` of a double: the exact binary value rounded
+    half-even to four decimals (Java formats the shortest decimal half-up).
+
+    The fraction times 10^4 is taken as a product and its exact error
+    (splitting the fraction in two halves), so the comparison with one half
+    is exact.  Whole parts of 2^53 and more are exact integers, spelt through
+    a decimal product up to 2^115; larger ones keep Java's digits."""
+    size = F.abs(x)
+    whole = F.when(size < 2.0 ** 53, F.floor(size).cast("double")).otherwise(size)
+    part = size - whole
+    split = part * 134217729.0
+    high = split - (split - part)
+    product = part * 10000.0
+    error = (high * 10000.0 - product) + (part - high) * 10000.0
+    digits = F.floor(product).cast("double")
+    over = ((product - digits) - 0.5) + error
+    odd = F.pmod(digits, F.lit(2.0)) == 1
+    up = F.when((over > 0) | ((over == 0) & odd), 1.0).otherwise(0.0)
+    # a product rounded up to a whole number: its error is far from one half
+    scaled = (digits + up).cast("bigint")
+    small = F.concat((F.floor(size) + F.when(scaled >= 10000, 1).otherwise(0)).cast("string"), F.lit("."),
+                     F.lpad(F.pmod(scaled, F.lit(10000)).cast("string"), 4, "0"))
+    power = F.greatest(F.floor(F.log2(size)).cast("int") - 52, F.lit(0))
+    # 62 binary places at most: the mantissa stays below 2^53
+    factor = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(power, F.lit(62)))
+    mantissa = (size / factor.cast("double")).try_cast("bigint").cast("decimal(19,0)")
+    large = F.concat(F.try_multiply(mantissa, factor.cast("decimal(19,0)")).cast("string"), F.lit(".0000"))
+    text = (F.when(size < 2.0 ** 53, small).when(size < 2.0 ** 115, large)
+            .otherwise(F.format_string("%.4f", size)))
+    infinite = F.lit(float("inf"))
+    return (F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), F.lit("nan"))
+            .when(size == infinite, F.when(x > 0, "inf").otherwise("-inf"))
+            .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text)))
+
+
 def quantile_position(n: Column, q: float) -> tuple[Column, Column, Column]:
     """Linear-interpolation position of quantile q among n sorted values
     (0-based): (floor index, ceil index, fraction)."""

@@ -1,11 +1,12 @@
 """String similarity for label standardisation.
 
-``gestalt_match`` / ``gestalt_cascade`` are the one Python function in the
+``gestalt_cascade`` is the one Python function in this part of the
 library: Ratcliff / Obershelp ("gestalt") matching as the standard
 library's ``difflib`` computes it, applied as an Arrow-batched pandas UDF
 (the cascade runs both match stages in one pass).  Callers feed it
 DISTINCT values only, so its cost is distinct labels x vocabulary, not
-rows.  ``levenshtein_match`` is the all-native alternative (JVM
+rows; it is declared non-deterministic so that the optimizer cannot move a
+filter on its result below that distinct, onto raw rows.  ``levenshtein_match`` is the all-native alternative (JVM
 ``levenshtein`` inside a higher-order function, no Python at all).
 Both return the 0-based index of the best vocabulary entry whose score
 reaches the cutoff, or NULL; ties go to the lexicographically larger
@@ -22,24 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 
-def gestalt_match(values: Column, candidates: Sequence[str], cutoff: float = 0.8) -> Column:
-    cands = list(candidates)
-
-    @F.pandas_udf(IntegerType())
-    def _best(s: pd.Series) -> pd.Series:
-        from difflib import get_close_matches
-
-        def one(v):
-            if v is None or (isinstance(v, float) and v != v):
-                return None
-            m = get_close_matches(v, cands, n=1, cutoff=cutoff)
-            return cands.index(m[0]) if m else None
-
-        return s.map(one).astype("Int32")
-
-    return _best(values)
-
-
 def levenshtein_score(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; two empty strings score 1."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -83,4 +66,4 @@ def gestalt_cascade(skip: Column, first: Column, second: Column, first_cands: Se
 
         return pd.Series([one(s, x, y) for s, x, y in zip(sk, a, b)], dtype="Int32")
 
-    return _cascade(skip, first, second)
+    return _cascade.asNondeterministic()(skip, first, second)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (count_if, mean_of_flag, month_key, null_false, pandas_round, pct,
                                threshold_flag, try_div)
-from .features import payback_category, payback_months
+from .features import lookup_join, payback_category, payback_months
 from .ranking import cumulative_share, fixed_order
 from .stats import exact_quantiles
 
@@ -57,10 +57,11 @@ def value_counts(df: DataFrame, c: str, name: str = "Count", pct_name: str | Non
     counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(name))
     if pct_name is None:
         return counts.orderBy(F.col(name).desc(), F.col(c))
-    if denominator == "all":
-        total = df.select(F.count(F.lit(1))).scalar()
-    else:
-        total = df.select(F.count(F.col(c))).scalar()
+    # The total sums the grouped counts (the NULL group included for
+    # ``'all'``): both readers share one aggregation of the input.
+    grouped = df.groupBy(c).agg(F.count("*").alias(name))
+    counts = grouped.where(F.col(c).isNotNull())
+    total = (grouped if denominator == "all" else counts).select(F.sum(name)).scalar()
     share = F.col(name) / total * 100.0
     share = pandas_round(share, digits) if digits is not None else share
     return counts.withColumn(pct_name, share).orderBy(F.col(name).desc(), F.col(c))
@@ -69,11 +70,11 @@ def value_counts(df: DataFrame, c: str, name: str = "Count", pct_name: str | Non
 def top_n_then_breakdown(df: DataFrame, label: str, by: str, n: int = 5,
                          names: tuple[str, str, str] = ("Oil_Type", "City", "Count")) -> DataFrame:
     """Counts by (label, by) restricted to the n most frequent labels (ties
-    -> label order).  The top-n set is n rows: semi-joined by broadcast."""
-    top = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n")).orderBy(
-        F.col("_n").desc(), F.col(label)).limit(n).select(label)
-    sub = df.join(F.broadcast(top), label, "left_semi").where(F.col(by).isNotNull())
-    out = sub.groupBy(label, by).agg(F.count("*").alias(names[2]))
+    -> label order).  Both levels come from one aggregation of the input."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label, by).agg(F.count("*").alias("_n"))
+    top = counts.groupBy(label).agg(F.sum("_n").alias("_all")).orderBy(
+        F.col("_all").desc(), F.col(label)).limit(n).select(label)
+    out = counts.where(F.col(by).isNotNull()).join(top, label, "left_semi").withColumnRenamed("_n", names[2])
     return out.select(F.col(label).alias(names[0]), F.col(by).alias(names[1]), names[2]).orderBy(
         F.col(names[0]).asc(), F.col(names[2]).desc(), F.col(names[1]))
 
@@ -211,11 +212,16 @@ def concentration_table(df: DataFrame, key: str = "State", where: Column | None
         F.col(count_name).desc(), F.col(key))
 
 
-def pivot_mean(df: DataFrame, row: str, col: str, values: Sequence, measure: str, digits: int = 3,
+def pivot_mean(df: DataFrame, row: str, col: str, measure: str, values: Sequence | None = None, digits: int = 3,
                prefix: str = "kw_") -> DataFrame:
-    """row x col matrix of mean(measure); the pivot values are given
-    explicitly so Spark needs no extra pass to discover them."""
+    """row x col matrix of mean(measure), one column per value of ``col``
+    that occurs, in order.  ``values`` restricts the matrix to given ones
+    and saves the pass that finds them."""
     src = df.where(F.col(row).isNotNull() & F.col(measure).isNotNull())
+    if values is None:
+        # As many values as the result has columns come back.
+        found = src.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+        values = [r[0] for r in found.collect()]
     p = src.groupBy(row).pivot(col, list(values)).agg(pandas_round(F.avg(measure), digits))
     return p.select(row, *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
 
@@ -276,11 +282,14 @@ def violations(df: DataFrame, codes: DataFrame, limit: float = INTEREST_MANDATE_
     v = df.where(null_false(F.col("Has_Loan") & (F.col("Actual_Interest_Rate_pct") > F.lit(limit))))
     v = v.select("Application_ID", "State", "Beneficiary_Category", "System_Size_kW", "Loan_Amount_Rs",
                  "Actual_Interest_Rate_pct")
-    v = v.join(codes.select("State", F.col("State_Code").alias("State_Code_Lookup")), "State", "left")
+    v = lookup_join(v, codes.select("State", F.col("State_Code").alias("State_Code_Lookup")), "State")
     return v.withColumn("Violation", F.lit(f"Interest Rate > {limit:g}% Mandate"))
 
 
-def violations_by_state(viol: DataFrame, flag_over: float = 20.0) -> DataFrame:
+def violations_by_state(df: DataFrame, flag_over: float = 20.0, limit: float = INTEREST_MANDATE_PCT) -> DataFrame:
+    """Loans above the mandate per state, counted straight from the filter
+    (no state code is needed)."""
+    viol = df.where(null_false(F.col("Has_Loan") & (F.col("Actual_Interest_Rate_pct") > F.lit(limit))))
     out = viol.where(F.col("State").isNotNull()).groupBy("State").agg(F.count("*").alias("Violation_Count"))
     return out.withColumn("High_Violations", F.col("Violation_Count") > F.lit(flag_over)).orderBy("State")
 
@@ -298,7 +307,7 @@ def topn_state_stage_means(df: DataFrame, key: str = "State", cols: Sequence[str
                            n: int = 10) -> DataFrame:
     top = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).orderBy(
         F.col("_n").desc(), F.col(key)).limit(n).select(key)
-    sub = df.join(F.broadcast(top), key, "left_semi")
+    sub = df.join(top, key, "left_semi")
     return sub.groupBy(key).agg(*[pandas_round(F.avg(c), 1).alias(c) for c in cols]).orderBy(key)
 
 

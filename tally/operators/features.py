@@ -142,14 +142,14 @@ def performance_ratio(actual="Actual_Monthly_Units", expected="Expected_Monthly_
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
-    """Per column: non-null count, null count, % missing (half-even, 2).
-    One aggregate of count(col) for every column, then unpivoted."""
-    cols = df.columns
+    """Per column: type, non-null count, null count, % missing (half-even,
+    2).  One aggregate of count(col) for every column, then unpivoted."""
+    cols, kinds = df.columns, dict(df.dtypes)
     row = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[F.count(F.col(f"`{c}`")).alias(f"_nn{i}") for i, c in enumerate(cols)])
-    stacked = ", ".join(f"'{c}', _nn{i}" for i, c in enumerate(cols))
-    long = row.selectExpr("_rows", f"stack({len(cols)}, {stacked}) AS (column_name, non_null)")
-    return long.select("column_name", "non_null", (F.col("_rows") - F.col("non_null")).alias("null_count"),
+    stacked = ", ".join(f"'{c}', '{kinds[c]}', _nn{i}" for i, c in enumerate(cols))
+    long = row.selectExpr("_rows", f"stack({len(cols)}, {stacked}) AS (column_name, dtype, non_null)")
+    return long.select("column_name", "dtype", "non_null", (F.col("_rows") - F.col("non_null")).alias("null_count"),
                        F.bround(pct(F.col("_rows") - F.col("non_null"), "_rows"), 2).alias("pct_missing"))
 
 
@@ -160,7 +160,10 @@ def assign_codes(df: DataFrame, key: str, prefix: str = "ST", width: int = 2, co
 
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     ranked = global_row_number(keys, [key], "_rn")
-    return ranked.select(key, F.concat(F.lit(prefix), F.lpad(F.col("_rn").cast("string"), width, "0")).alias(code))
+    number = F.col("_rn").cast("string")
+    # lpad alone would cut an ordinal longer than ``width``.
+    padded = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
+    return ranked.select(key, F.concat(F.lit(prefix), padded).alias(code))
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, cols: Sequence[str] | None = None) -> DataFrame:

@@ -16,9 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (col, collapse_ws, contains_any, day_first_date, null_false,
+from ..functions.exprs import (col, collapse_ws, contains_any, day_first_date, null_false, py_fixed4,
                                pandas_round, py_float, py_strip, py_title, remove_ws)
-from ..functions.similarity import gestalt_cascade, gestalt_match, levenshtein_match
+from ..functions.similarity import gestalt_cascade, levenshtein_match
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for equal results.
@@ -120,19 +120,25 @@ def label_mapping_frame(distinct_raw: DataFrame, raw: str, vocabulary: Sequence[
     vocab = list(vocabulary)
     v_lower = [c.lower() for c in vocab]
     v_nospace = ["".join(c.lower().split()) for c in vocab]
-    match = {"gestalt": gestalt_match, "levenshtein": levenshtein_match}[method]
+    if method not in ("gestalt", "levenshtein"):
+        raise ValueError(f"unknown method {method!r}")
     cleaned, lower, nospace = clean_label(raw)
     names = F.array(*[F.lit(c) for c in vocab])
     staged = distinct_raw.select(F.col(raw), cleaned.alias("_cleaned"), lower.alias("_lower"),
                                  nospace.alias("_nospace"))
     staged = staged.withColumn("_ov", F.try_element_at(_map_literal(overrides), F.col("_nospace")))
     if method == "gestalt":
-        # One Python pass per distinct label; rows the override settled are skipped.
-        idx = gestalt_cascade(F.col("_ov").isNotNull(), F.col("_nospace"), F.col("_lower"), v_nospace, v_lower,
-                              cutoff)
+        # An equal key scores 1, above every other: settled natively.  One
+        # Python pass scores the distinct labels that are still open.
+        exact = F.array_position(F.array(*[F.lit(v) for v in v_nospace]), F.col("_nospace"))
+        equal = F.when(exact > 0, exact - 1).cast("int")
+        scored = gestalt_cascade(F.col("_ov").isNotNull() | equal.isNotNull(), F.col("_nospace"), F.col("_lower"),
+                                 v_nospace, v_lower, cutoff)
+        idx = F.coalesce(equal, scored)
     else:
-        idx = F.when(F.col("_ov").isNull(), F.coalesce(match(F.col("_nospace"), v_nospace, cutoff),
-                                                       match(F.col("_lower"), v_lower, cutoff)))
+        idx = F.when(F.col("_ov").isNull(), F.coalesce(
+            levenshtein_match(F.col("_nospace"), v_nospace, cutoff),
+            levenshtein_match(F.col("_lower"), v_lower, cutoff)))
     staged = staged.withColumn("_m", idx)
     std = F.coalesce(F.col("_ov"), F.try_element_at(names, F.col("_m") + 1), py_title(F.col("_cleaned")))
     return staged.select(F.col(raw), std.alias(out))
@@ -168,7 +174,7 @@ def nondetect_token(c, tokens: Sequence[str] = PASS_TOKENS) -> Column:
 
 
 def _fmt_max(num: Column, r: Rule) -> Column:
-    return F.format_string("%s = %.4f (max allowed: %s)", F.lit(r.param), num, F.lit(r.max_text or str(r.max)))
+    return F.format_string("%s = %s (max allowed: %s)", F.lit(r.param), py_fixed4(num), F.lit(r.max_text or str(r.max)))
 
 
 def rule_failure(df_columns: Sequence[str], r: Rule, tokens: Sequence[str] = PASS_TOKENS) -> Column | None:
@@ -204,8 +210,8 @@ def rule_evaluate(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, tokens:
 
 def status_summary(df: DataFrame, c: str = "Pass_Fail", label: str = "Result") -> DataFrame:
     """Count per outcome and its share of all rows (round 2, half-even)."""
-    total = df.select(F.count(F.lit(1))).scalar()
     counts = df.groupBy(F.col(c).alias(label)).agg(F.count("*").alias("Count"))
+    total = counts.select(F.sum("Count")).scalar()  # the same aggregation, read once
     return counts.select(label, "Count", pandas_round(F.col("Count") * 100.0 / total, 2).alias("Percentage"))
 
 

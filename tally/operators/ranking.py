@@ -102,7 +102,8 @@ def fixed_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number",
                       running_sum: str | None = None, sum_name: str = "running_sum") -> DataFrame:
     """1-based position of every row in the ascending order of ``order``
-    (ties in any order), optionally with the running sum of ``running_sum``
+    (ties in any order; name a unique key last where many rows tie, so that
+    they spread over the partitions), optionally with the running sum of ``running_sum``
     in that order - without a single-partition window.
 
     The rows are range-partitioned on the order columns and frozen with

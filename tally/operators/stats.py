@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
-from pyspark.sql.types import BooleanType, DateType, IntegralType
 from pyspark.sql import functions as F
 
 from ..functions.exprs import pandas_round, quantile_position, try_div
@@ -46,50 +45,26 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]):
     return cond
 
 
-def _few_distinct(df: DataFrame, cols: Sequence[str]) -> bool:
-    """Integral, boolean and date columns repeat values heavily, so
-    counting (group, value) pairs first collapses them map-side; floating
-    columns are mostly distinct and skip that extra shuffle."""
-    kinds = (IntegralType, BooleanType, DateType)
-    return all(isinstance(df.schema[c].dataType, kinds) for c in cols)
-
-
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                    approx_accuracy: int | None = None, preaggregate: bool | None = None) -> DataFrame:
+                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles of ``value_col`` per group (NULL and
     NaN skipped).  One row per group with one DOUBLE column per prob plus
-    ``n`` (non-null count).  ``approx_accuracy`` switches to the
-    single-pass ``percentile_approx`` sketch where exactness is not needed.
-    ``preaggregate`` (default: by column type, see ``_few_distinct``)
-    chooses between the two plans below.
-
-    Both plans range-partition on (group, value), so a hot group spreads
-    over many partitions, freeze the partitioned data with its partition
-    id in the checkpoint folder, and derive every partition's rank offset
-    from a window over the per-(group, partition) counts - at most
-    groups x partitions rows.  ``_quantiles_from_positions`` ranks rows by
-    their position in the sorted partition (mostly-distinct values);
-    ``_quantiles_from_counts`` first counts (group, value) pairs map-side
-    (repetitive values: days, sizes) and ranks by running counts inside
-    the few partitions that hold a wanted rank.
+    ``n`` (non-null count).
+
+    (group, value) pairs are counted first, on the map side too, so a value
+    that many rows share is one row from then on.  The pairs are range
+    partitioned on (group, value): a hot group spreads over many partitions
+    and no partition holds ties.  They are frozen with their partition id,
+    every partition's rank offset comes from a window over the per-(group,
+    partition) counts (at most groups x partitions rows), and running counts
+    inside the few partitions that hold a wanted rank find it.
     """
     g = list(group_cols)
     names = list(names) if names else [_qname(q) for q in probs]
     v = F.col(value_col).cast("double")
     base = df.select(*[F.col(c) for c in g], v.alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-    if approx_accuracy:
-        aggs = [F.percentile_approx("_v", float(q), approx_accuracy).alias(n)
-                for q, n in zip(probs, names)]
-        return base.groupBy(*g).agg(F.count("*").alias("n"), *aggs)
-
-    if preaggregate is None:
-        preaggregate = value_col in df.columns and _few_distinct(df, [value_col])
-    if preaggregate:
-        return _quantiles_from_counts(base, g, probs, names)
-    return _quantiles_from_positions(base, g, probs, names)
+    return _quantiles_from_counts(base, g, probs, names)
 
 
 def _interpolate(picked: DataFrame, g: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -108,37 +83,7 @@ def _segment_offsets(seg: DataFrame, g: Sequence[str], size: str) -> DataFrame:
                .withColumn("_n", F.sum(size).over(within)))
 
 
-def _quantiles_from_positions(base: DataFrame, g: Sequence[str], probs, names) -> DataFrame:
-    """Mostly-distinct values: one range shuffle of the rows; a row's rank
-    is its segment offset plus its position in the sorted partition (row
-    ids are frozen with the data), so only the rows at wanted ranks
-    survive a filter after a broadcast join with the small segment table."""
-    ordered = cut_lineage(base.repartitionByRange(*[F.col(c) for c in g], F.col("_v"))
-                          .sortWithinPartitions(*g, "_v")
-                          .withColumn("_p", F.spark_partition_id())
-                          .withColumn("_i", F.monotonically_increasing_id()))
-    seg = ordered.groupBy(*g, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_i0"))
-    seg = _segment_offsets(seg, g, "_c")
-    o, s = ordered.alias("o"), seg.alias("s")
-    ranked = o.join(s, _null_safe_on(o, s, list(g) + ["_p"]), "inner").select(
-        *[F.col(f"o.{c}").alias(c) for c in g], "o._v", "s._n",
-        (F.col("s._off") + F.col("o._i") - F.col("s._i0")).alias("_r"))
-    keep = None
-    aggs = [F.first("_n").alias("n")]
-    for q, name in zip(probs, names):
-        lo, hi, frac = quantile_position(F.col("_n"), q)
-        term = (F.col("_r") == lo) | (F.col("_r") == hi)
-        keep = term if keep is None else keep | term
-        aggs += [F.max(F.when(F.col("_r") == lo, F.col("_v"))).alias(f"_{name}_lo"),
-                 F.max(F.when(F.col("_r") == hi, F.col("_v"))).alias(f"_{name}_hi"),
-                 F.first(frac).alias(f"_{name}_f")]
-    return _interpolate(ranked.where(keep).groupBy(*g).agg(*aggs), g, names)
-
-
 def _quantiles_from_counts(base: DataFrame, g: Sequence[str], probs, names) -> DataFrame:
-    """Repetitive values: count (group, value) pairs first (map-side), range
-    partition the pairs, and find each wanted rank with a running count
-    inside the few segments that contain one."""
     counted = base.groupBy(*g, "_v").agg(F.count("*").alias("_c"))
     ordered = cut_lineage(counted.repartitionByRange(*[F.col(c) for c in g], F.col("_v"))
                           .withColumn("_p", F.spark_partition_id()))
@@ -191,25 +136,15 @@ def describe_numeric(df: DataFrame, value_col: str, group_cols: Sequence[str] =
 
 def summary_stats(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> DataFrame:
     """A5: Mean/Median/Std/Min/Max/P25/P75 per column, one row per column.
-    Columns are unpivoted into (column_name, value) so that one quantile
-    pass serves several columns: repetitive (integral/date) columns share
-    the count-based plan, floating columns the position-based one."""
-    def long_of(cs):
-        return df.select(*[F.col(c).cast("double").alias(c) for c in cs]).unpivot(
-            ids=[], values=list(cs), variableColumnName="column_name", valueColumnName="value").where(
-            F.col("value").isNotNull())
-
-    long = long_of(cols)
+    Columns are unpivoted into (column_name, value), so that one quantile
+    pass serves all of them."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        ids=[], values=list(cols), variableColumnName="column_name", valueColumnName="value").where(
+        F.col("value").isNotNull())
     moments = long.groupBy("column_name").agg(
         F.avg("value").alias("Mean"), F.stddev_samp("value").alias("Std_Dev"),
         F.min("value").alias("Min"), F.max("value").alias("Max"))
-    parts = []
-    for pre in (True, False):
-        cs = [c for c in cols if _few_distinct(df, [c]) == pre]
-        if cs:
-            parts.append(exact_quantiles(long_of(cs), "value", [0.5, 0.25, 0.75], ["column_name"],
-                                         names=["Median", "P25", "P75"], preaggregate=pre).drop("n"))
-    qs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    qs = exact_quantiles(long, "value", [0.5, 0.25, 0.75], ["column_name"], names=["Median", "P25", "P75"]).drop("n")
     out = moments.join(qs, "column_name", "left")
     rnd = (lambda c: pandas_round(c, digits)) if digits is not None else (lambda c: c)
     return out.select("column_name", *[rnd(F.col(c)).alias(c) for c in
@@ -226,11 +161,21 @@ def pearson(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> Da
         F.count("*").alias("n"))
 
 
+def _ascending(grouped: DataFrame, value_col: str) -> tuple[DataFrame, list[str]]:
+    """The measure as ``x`` with the entity's other columns, and the order
+    to rank it in: the entity is the last key, so that entities with equal
+    measures (often most of them) spread over the range partitions."""
+    rest = [c for c in grouped.columns if c != value_col]
+    vals = grouped.select(F.col(value_col).cast("double").alias("x"),
+                          *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(rest)])
+    return vals, vals.columns
+
+
 def gini(grouped: DataFrame, value_col: str) -> DataFrame:
     """Gini of a per-entity measure: sort ascending, (n + 1 - 2 * sum(cumsum)
     / total) / n, using sum(cumsum) = (n + 1) * total - sum(i * x_i).  The
     ranks i come from ``global_row_number`` (no single-task window)."""
-    ranked = global_row_number(grouped.select(F.col(value_col).cast("double").alias("x")), ["x"], "i")
+    ranked = global_row_number(*_ascending(grouped, value_col), "i")
     agg = ranked.agg(F.count("*").alias("n"), F.sum("x").alias("total"),
                      F.sum(F.col("i") * F.col("x")).alias("ix"))
     cum_sum = (F.col("n") + 1) * F.col("total") - F.col("ix")
@@ -242,8 +187,8 @@ def gini(grouped: DataFrame, value_col: str) -> DataFrame:
 def lorenz_points(grouped: DataFrame, value_col: str) -> DataFrame:
     """(population share, cumulative value share) after ascending sort,
     plus the origin point; ranks and running sums are distributed."""
-    vals = grouped.select(F.col(value_col).cast("double").alias("x"))
-    pts = global_row_number(vals, ["x"], "i", running_sum="x", sum_name="cum")
+    vals, order = _ascending(grouped, value_col)
+    pts = global_row_number(vals, order, "i", running_sum="x", sum_name="cum")
     totals = vals.agg(F.count("*").alias("n"), F.sum("x").alias("total"))
     pts = attach_row(pts, totals, ["n", "total"])
     pts = pts.select(F.col("i").cast("bigint").alias("i"),
@@ -257,21 +202,28 @@ def lorenz_points(grouped: DataFrame, value_col: str) -> DataFrame:
 
 def histogram_bins(df: DataFrame, value_col: str, bins: int) -> DataFrame:
     """numpy-style equal-width histogram over [min, max] with the last bin
-    closed.  One pass for the bounds, one partial/final aggregate for the
+    closed; a constant column is widened by 0.5 to both sides.  The computed
+    index is compared with the edges that are returned and moved by one where
+    rounding put it beside them, so every value lies between its own bin's
+    edges.  One pass for the bounds, one partial/final aggregate for the
     counts; empty bins are generated from the bounds row (``bins`` rows)."""
     x = F.col(value_col).cast("double")
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    bounds = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / width).cast("int"), F.lit(bins - 1)))
-    counts = attach_row(vals, bounds, ["lo", "hi"]).select(idx.alias("bin")).groupBy("bin").agg(
-        F.count("*").alias("count"))
+    constant = F.when(F.min("x") == F.max("x"), 0.5).otherwise(0.0)
+    bounds = vals.agg((F.min("x") - constant).alias("lo"), (F.max("x") + constant).alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+
+    def edge(i):
+        return F.when(i == bins, F.col("hi")).otherwise(i * step + F.col("lo"))
+
+    first = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"),
+                    F.lit(bins - 1))
+    i = F.col("first")
+    idx = F.when(F.col("x") < edge(i), i - 1).when((F.col("x") >= edge(i + 1)) & (i < bins - 1), i + 1).otherwise(i)
+    counts = attach_row(vals, bounds, ["lo", "hi"]).withColumn("first", first).select(idx.alias("bin")).groupBy(
+        "bin").agg(F.count("*").alias("count"))
     grid = bounds.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    edges = grid.select(
-        "bin",
-        (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(float(bins))).alias("bin_lo"),
-        (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / F.lit(float(bins))).alias("bin_hi"))
+    edges = grid.select("bin", edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + 1).alias("bin_hi"))
     return edges.join(counts, "bin", "left").select(
         "bin", "bin_lo", "bin_hi", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
@@ -309,6 +261,7 @@ def ols_standardised(df: DataFrame, features: Sequence[str], target: str,
     cols = list(features) + [target]
     data = df.select(*[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in fill_zero
                         else F.col(c).cast("double")).alias(c) for c in cols]).dropna()
+    data = cut_lineage(data)  # moments, fit and summary read these columns
     stats = data.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
                      *[F.stddev_pop(c).alias(f"s_{c}") for c in features])
     z = attach_row(data, stats, stats.columns).select(

@@ -99,14 +99,15 @@ WITH oil_dim AS (""" + OIL_DIM_SQL + """)
 SELECT l_orderkey AS sample_code, n_name AS city_picked, upper(s.name) AS oil_sampler,
   CASE WHEN l_suppkey % 20 = 0 THEN NULL ELSE lower(replace(b.name, ' ', '')) END AS oil_lab,
   CASE l_suppkey % 6 WHEN 0 THEN 'BLQ' WHEN 1 THEN '<0.05' WHEN 2 THEN NULL WHEN 3 THEN 'smudged'
-       ELSE cast(cast(l_quantity AS int) % 9 AS varchar(4)) END AS lead,
+       ELSE CASE l_orderkey % 40 WHEN 0 THEN '5.03125' WHEN 1 THEN '6.00005' WHEN 2 THEN 'inf' WHEN 3 THEN '1e30'
+         WHEN 4 THEN '0.00005' WHEN 5 THEN concat(cast(l_partkey % 7 AS varchar(4)), '.', cast(l_suppkey AS varchar(9)), '5')
+         ELSE cast(cast(l_quantity AS int) % 9 AS varchar(4)) END END AS lead,
   cast(cast(l_quantity AS int) % 5 AS varchar(4)) AS acid_value,
   CASE WHEN l_partkey % 10 = 0 THEN 'Positive' ELSE 'Negative' END AS argemone
 FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey
 JOIN oil_dim s ON s.idx = l_partkey % 12
 JOIN oil_dim b ON b.idx = CASE WHEN l_suppkey % 4 = 0 THEN (l_partkey + 1) % 12 WHEN l_suppkey % 4 = 1 AND l_partkey % 12 = 7 THEN 11
   ELSE l_partkey % 12 END
-WHERE l_linenumber = 1
 """
 
 BINDINGS = {

@@ -58,22 +58,18 @@ SELECT DISCOM, State, round(avg(CFA_Credit_Days_After_Commission), 2) AS Avg_CFA
 FROM applications WHERE CFA_Credit_Days_After_Commission IS NOT NULL
 GROUP BY DISCOM, State HAVING avg(CFA_Credit_Days_After_Commission) > 60""",
     "s3_top_vendors": """
-WITH vendor_stats AS (
-  SELECT State, Vendor_ID, round(avg(Vendor_Rating), 3) AS Avg_Rating, count(*) AS Num_Installations,
-         dense_rank() OVER (PARTITION BY State ORDER BY avg(Vendor_Rating) DESC) AS Rating_Rank
-  FROM applications WHERE Vendor_Rating IS NOT NULL AND Commission_Date IS NOT NULL GROUP BY State, Vendor_ID)
-SELECT State, Vendor_ID, Avg_Rating, Num_Installations, CAST(Rating_Rank AS BIGINT) AS Rating_Rank
-FROM vendor_stats WHERE Rating_Rank <= 3""",
+WITH mean AS (SELECT State, Vendor_ID, avg(Vendor_Rating) AS m, count(*) AS n FROM applications
+              WHERE Commission_Date IS NOT NULL AND Vendor_Rating IS NOT NULL GROUP BY ALL)
+SELECT a.State, a.Vendor_ID, round(a.m, 3) AS Avg_Rating, a.n AS Num_Installations,
+       CAST(1 + count(DISTINCT better.m) AS BIGINT) AS Rating_Rank
+FROM mean a LEFT JOIN mean better ON better.State IS NOT DISTINCT FROM a.State AND better.m > a.m
+GROUP BY ALL HAVING count(DISTINCT better.m) < 3""",
     "s4_monthly_growth": """
-WITH monthly AS (SELECT strftime(Application_Date, '%Y-%m') AS Year_Month, count(*) AS Monthly_Volume
-                 FROM applications GROUP BY 1),
-cumulative AS (SELECT Year_Month, Monthly_Volume,
-                      CAST(sum(Monthly_Volume) OVER (ORDER BY Year_Month) AS BIGINT) AS Cumulative_Total,
-                      lag(Monthly_Volume) OVER (ORDER BY Year_Month) AS Prev_Month_Volume FROM monthly)
-SELECT Year_Month, Monthly_Volume, Cumulative_Total, Prev_Month_Volume,
-       CASE WHEN Prev_Month_Volume > 0 THEN round(100e0 * (Monthly_Volume - Prev_Month_Volume) / Prev_Month_Volume, 2) END
-         AS MoM_Growth_Rate_Pct
-FROM cumulative""",
+WITH m AS (SELECT strftime(Application_Date, '%Y-%m') AS ym, count(*) AS n FROM applications GROUP BY ALL),
+p AS (SELECT ym, n, (SELECT CAST(sum(o.n) AS BIGINT) FROM m o WHERE o.ym <= m.ym) AS upto,
+             (SELECT arg_max(o.n, o.ym) FROM m o WHERE o.ym < m.ym) AS before FROM m)
+SELECT ym AS Year_Month, n AS Monthly_Volume, upto AS Cumulative_Total, before AS Prev_Month_Volume,
+       CASE WHEN before > 0 THEN round((n - before) * 100e0 / before, 2) END AS MoM_Growth_Rate_Pct FROM p""",
     "s5_grievance_summary": """
 SELECT Grievance_Type, count(*) AS Total_Count,
        CAST(sum(CASE WHEN Grievance_Resolved THEN 1 ELSE 0 END) AS BIGINT) AS Resolved_Count,
@@ -83,26 +79,23 @@ SELECT Grievance_Type, count(*) AS Total_Count,
               OR round(avg(Grievance_TAT_Days), 1) > 30 THEN 'Requires Attention' ELSE 'On Track' END AS SLA_Flag
 FROM applications WHERE Has_Grievance AND Grievance_Type IS NOT NULL GROUP BY Grievance_Type""",
     "s6_incentive_gap": """
-WITH g AS (SELECT DISCOM, sum(DISCOM_Incentive_Received_Rs) AS r, sum(DISCOM_Incentive_Utilised_Rs) AS u,
-                  sum(DISCOM_Incentive_Received_Rs - DISCOM_Incentive_Utilised_Rs) AS gap
-           FROM applications WHERE DISCOM_Incentive_Received_Rs IS NOT NULL AND DISCOM_Incentive_Utilised_Rs IS NOT NULL
-           GROUP BY DISCOM),
-t AS (SELECT DISCOM, round(avg(TFC_Processing_Days), 2) AS Avg_TFC_Days FROM applications
-      WHERE TFC_Processing_Days IS NOT NULL GROUP BY DISCOM)
-SELECT g.DISCOM, round(r, 2) AS Total_Incentive_Received, round(u, 2) AS Total_Incentive_Utilised,
-       round(gap, 2) AS Unutilised_Gap, t.Avg_TFC_Days
-FROM g LEFT JOIN t ON g.DISCOM = t.DISCOM ORDER BY gap DESC, g.DISCOM LIMIT 10""",
+SELECT DISCOM, round(sum(DISCOM_Incentive_Received_Rs) FILTER (DISCOM_Incentive_Utilised_Rs IS NOT NULL), 2)
+         AS Total_Incentive_Received,
+       round(sum(DISCOM_Incentive_Utilised_Rs) FILTER (DISCOM_Incentive_Received_Rs IS NOT NULL), 2)
+         AS Total_Incentive_Utilised,
+       round(sum(DISCOM_Incentive_Received_Rs - DISCOM_Incentive_Utilised_Rs), 2) AS Unutilised_Gap,
+       CASE WHEN DISCOM IS NOT NULL THEN round(avg(TFC_Processing_Days), 2) END AS Avg_TFC_Days
+FROM applications GROUP BY DISCOM
+HAVING count(DISCOM_Incentive_Received_Rs - DISCOM_Incentive_Utilised_Rs) > 0
+ORDER BY sum(DISCOM_Incentive_Received_Rs - DISCOM_Incentive_Utilised_Rs) DESC, DISCOM NULLS FIRST LIMIT 10""",
     "s7_rate_brackets": """
-WITH b AS (SELECT State, Loan_Amount_Rs, System_Size_kW,
-                  CASE WHEN Actual_Interest_Rate_pct <= 7 THEN 'Compliant (<=7%)'
-                       WHEN Actual_Interest_Rate_pct <= 9 THEN 'Marginal (7-9%)' ELSE 'Non-Compliant (>9%)' END AS Rate_Bracket
-           FROM applications WHERE Has_Loan AND Actual_Interest_Rate_pct IS NOT NULL),
-a AS (SELECT Rate_Bracket, count(*) AS Count, round(avg(Loan_Amount_Rs), 0) AS Avg_Loan_Amount,
-             round(avg(System_Size_kW), 2) AS Avg_System_Size_kW FROM b GROUP BY Rate_Bracket),
-s AS (SELECT Rate_Bracket, State, row_number() OVER (PARTITION BY Rate_Bracket ORDER BY count(*) DESC, State) AS rn
-      FROM b GROUP BY Rate_Bracket, State)
-SELECT a.Rate_Bracket, a.Count, a.Avg_Loan_Amount, a.Avg_System_Size_kW, s.State AS State_With_Highest_Count
-FROM a LEFT JOIN s ON a.Rate_Bracket = s.Rate_Bracket AND s.rn = 1""",
+SELECT ['Compliant (<=7%)', 'Marginal (7-9%)', 'Non-Compliant (>9%)'][
+         1 + (Actual_Interest_Rate_pct > 7)::INT + (Actual_Interest_Rate_pct > 9)::INT] AS Rate_Bracket,
+       count(*) AS Count, round(avg(Loan_Amount_Rs), 0) AS Avg_Loan_Amount,
+       round(avg(System_Size_kW), 2) AS Avg_System_Size_kW,
+       arg_min(State, ({'fewer': -per_state, 'name': State})) AS State_With_Highest_Count
+FROM (SELECT *, count(*) OVER (PARTITION BY State, Actual_Interest_Rate_pct > 7, Actual_Interest_Rate_pct > 9) AS per_state
+      FROM applications WHERE Has_Loan AND Actual_Interest_Rate_pct IS NOT NULL) GROUP BY Rate_Bracket""",
     "s8_underserved": """
 SELECT State, count(*) AS Underserved_Count, round(avg(Market_Cost_Rs - CFA_Sanctioned_Rs), 2) AS Avg_Out_Of_Pocket
 FROM applications
@@ -111,8 +104,7 @@ WHERE Beneficiary_Category IN ('BPL', 'SC/ST') AND System_Size_kW = 3
 GROUP BY State""",
 }
 _ORACLE_REPORTS["s4_monthly_growth_peak"] = _ORACLE_REPORTS["s4_monthly_growth"] + """
-ORDER BY CASE WHEN Prev_Month_Volume > 0 THEN abs(100e0 * (Monthly_Volume - Prev_Month_Volume) / Prev_Month_Volume)
-              ELSE 0 END DESC, Year_Month LIMIT 1"""
+ORDER BY coalesce(abs((n - before) / nullif(greatest(before, 0), 0)), 0) DESC, ym LIMIT 1"""
 
 
 def _report_df(name):
@@ -138,8 +130,11 @@ _APP_COLS = ["Application_ID", "State", "DISCOM", "Beneficiary_Category", "Syste
              "Actual_Interest_Rate_pct", "DISCOM_Incentive_Received_Rs", "DISCOM_Incentive_Utilised_Rs",
              "ALMM_Compliant", "Has_Grievance", "Grievance_Type", "Grievance_Resolved", "Grievance_TAT_Days"]
 
+# The type as Spark names it, from what DuckDB says it is.
+_SPARK_TYPE = ("CASE typeof(any_value({0})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' "
+               "ELSE lower(typeof(any_value({0}))) END")
 _MISSING_SQL = "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column_name, count({c}) AS non_null, count(*) - count({c}) AS null_count, "
+    f"SELECT '{c}' AS column_name, {_SPARK_TYPE.format(c)} AS dtype, count({c}) AS non_null, count(*) - count({c}) AS null_count, "
     f"round_even(100e0 * (count(*) - count({c})) / count(*), 2) AS pct_missing FROM applications"
     for c in _APP_COLS)
 
@@ -169,17 +164,17 @@ def _pipeline_days(t):
 
 
 def _hist_sql(expr: str, src: str, bins: int) -> str:
-    b = f"{float(bins)}"
+    """Counts by edges: a value belongs to the bin whose edges hold it."""
     return f"""
 WITH v AS (SELECT CAST({expr} AS DOUBLE) AS x FROM {src}),
-v2 AS (SELECT x FROM v WHERE x IS NOT NULL AND NOT isnan(x)),
-b AS (SELECT min(x) AS lo, max(x) AS hi FROM v2),
-i AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((x - lo) / ((hi - lo) / {b})) AS INTEGER), {bins - 1}) END AS bin
-      FROM v2, b),
-c AS (SELECT bin, count(*) AS n FROM i GROUP BY bin),
-g AS (SELECT CAST(r.bin AS INTEGER) AS bin, lo + r.bin * (hi - lo) / {b} AS bin_lo,
-             lo + (r.bin + 1) * (hi - lo) / {b} AS bin_hi FROM b, range(0, {bins}) r(bin))
-SELECT g.bin, g.bin_lo, g.bin_hi, CAST(coalesce(c.n, 0) AS BIGINT) AS count FROM g LEFT JOIN c ON g.bin = c.bin"""
+b AS (SELECT min(x) - pad AS lo, max(x) + pad AS hi FROM v, (SELECT (min(x) = max(x))::INT * 0.5e0 AS pad FROM v
+      WHERE NOT isnan(x)) WHERE NOT isnan(x) GROUP BY pad),
+g AS (SELECT CAST(i AS INTEGER) AS bin, i * ((hi - lo) / {bins}e0) + lo AS bin_lo,
+             CASE WHEN i = {bins - 1} THEN hi ELSE (i + 1) * ((hi - lo) / {bins}e0) + lo END AS bin_hi
+      FROM b, range(0, {bins}) r(i))
+SELECT bin, bin_lo, bin_hi, count(x) AS count
+FROM g LEFT JOIN v ON x >= bin_lo AND (x < bin_hi OR (bin = {bins - 1} AND x = bin_hi))
+GROUP BY ALL"""
 
 
 @register("pipeline_days_histogram",
@@ -594,7 +589,7 @@ _RATIO = "Actual_Monthly_Units / Expected_Monthly_Units"
 def _pivot(t):
     a = t.applications().where(F.col("Actual_Monthly_Units").isNotNull())
     a = a.withColumn("Performance_Ratio", fe.performance_ratio())
-    return A.pivot_mean(a, "State", "System_Size_kW", [1, 2, 3, 4, 5], "Performance_Ratio")
+    return A.pivot_mean(a, "State", "System_Size_kW", "Performance_Ratio")
 
 
 @register("underperform_counts", f"""
@@ -716,7 +711,7 @@ def _vendor_summary(t):
     return A.vendor_summary(t.applications())
 
 
-_CODES = """codes AS (SELECT State, 'ST' || lpad(CAST(row_number() OVER (ORDER BY State) AS VARCHAR), 2, '0') AS State_Code
+_CODES = """codes AS (SELECT State, printf('ST%02d', row_number() OVER (ORDER BY State)) AS State_Code
                    FROM (SELECT DISTINCT State FROM applications WHERE State IS NOT NULL))"""
 
 
@@ -725,6 +720,13 @@ def _codes(t):
     return fe.assign_codes(t.applications(), "State")
 
 
+# 100 vendors and more: ordinals outgrow their padding.
+@register("vendor_codes", """SELECT Vendor_ID, printf('V%02d', row_number() OVER (ORDER BY Vendor_ID)) AS Vendor_Code
+FROM (SELECT DISTINCT Vendor_ID FROM applications WHERE Vendor_ID IS NOT NULL)""")
+def _vendor_codes(t):
+    return fe.assign_codes(t.applications(), "Vendor_ID", prefix="V", code="Vendor_Code")
+
+
 _VIOL = f"""WITH {_CODES},
 v AS (SELECT a.Application_ID, a.State, a.Beneficiary_Category, a.System_Size_kW, a.Loan_Amount_Rs,
              a.Actual_Interest_Rate_pct, c.State_Code AS State_Code_Lookup, 'Interest Rate > 7% Mandate' AS Violation
@@ -742,7 +744,7 @@ def _violations(t):
 FROM v WHERE State IS NOT NULL GROUP BY State""")
 def _viol_state(t):
     a = t.applications()
-    return A.violations_by_state(A.violations(a, fe.assign_codes(a, "State")))
+    return A.violations_by_state(a)
 
 
 @register("payback_rows", f"""
@@ -889,10 +891,10 @@ def _fail_records(t):
 
 @register("fail_records_head", _T_EVAL + """
 SELECT sample_code, oil_sampler, Pass_Fail, Failure_Reason FROM t_eval WHERE Pass_Fail = 'FAIL'
-ORDER BY sample_code LIMIT 10""")
+ORDER BY sample_code, oil_sampler, Failure_Reason LIMIT 10""")
 def _fail_head(t):
     fails = q.fail_records(q.rule_evaluate(t.testing()), ["sample_code", "oil_sampler", "Pass_Fail", "Failure_Reason"])
-    return rk.head_sample(fails, 10, ["sample_code"])
+    return rk.head_sample(fails, 10, ["sample_code", "oil_sampler", "Failure_Reason"])
 
 
 @register("label_family", _T_EVAL + f""",

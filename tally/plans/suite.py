@@ -109,7 +109,7 @@ def monitoring_reports(tables: Tables) -> dict[str, DataFrame]:
         "D2_Installs_By_State": A.concentration_table(enriched, where=commissioned),
         "D2_Gini": st.gini(A.concentration_table(enriched, where=commissioned), "Installations"),
         "D3_Performance_Heatmap": A.pivot_mean(enriched.where(F.col("Actual_Monthly_Units").isNotNull()),
-                                               "State", "System_Size_kW", [1, 2, 3, 4, 5], "Units_Ratio"),
+                                               "State", "System_Size_kW", "Units_Ratio"),
         "D4_Payback_By_Category": A.payback_by_category(enriched),
         "D4_Payback_Box": st.box_stats(payback, "Payback_Months", ["Beneficiary_Category"]),
         "Enriched_Dataset": enriched,
@@ -125,7 +125,7 @@ def monitoring_reports(tables: Tables) -> dict[str, DataFrame]:
         "E4_Vendor_Summary": A.vendor_summary(enriched),
         "E5_State_Ref": codes,
         "E5_Loan_Violations": viol,
-        "E5_Violations_By_State": A.violations_by_state(viol),
+        "E5_Violations_By_State": A.violations_by_state(enriched),
         "E6_Payback_Model": pb_rows.select("Application_ID", "State", "Beneficiary_Category", "System_Size_kW",
                                            "Market_Cost_Rs", "CFA_Sanctioned_Rs", "Monthly_Bill_Savings_Rs",
                                            F.bround("Payback_Months", 1).alias("Payback_Months"), "Payback_Category"),
