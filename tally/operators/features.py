@@ -166,6 +166,11 @@ def assign_codes(df: DataFrame, key: str, prefix: str = "ST", width: int = 2, co
     return ranked.select(key, F.concat(F.lit(prefix), padded).alias(code))
 
 
+def fill_null(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
+    """Replace NULL in the named columns by a constant each."""
+    return df.fillna(dict(values))
+
+
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, cols: Sequence[str] | None = None) -> DataFrame:
     """VLOOKUP: left join a dimension on ``key``.  No hint: AQE turns it
     into a broadcast join when the dimension's measured size is small and

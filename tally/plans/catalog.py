@@ -9,6 +9,7 @@ Oracle bodies reference the views ``applications``, ``collection`` and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from ..operators import features as fe
 from ..operators import quality as q
 from ..operators import ranking as rk
 from ..operators import stats as st
+from ..session import ensure_checkpoint_dir
+from ..sources import io
 from . import oracle as O
 from . import reports as R
 from . import workloads as W
@@ -508,11 +511,41 @@ def _resolution(t):
     return A.resolution_table(g)
 
 
-@register("ols_standardised", None)
+def _ols_sql() -> str:
+    """Least squares by Gauss-Jordan elimination of the covariance matrix of
+    the z-scores, one CTE per pivot; the intercept of centred features is
+    the target's mean."""
+    names = ["System_Size_kW", "Monthly_Bill_Savings_Rs", "Vendor_Rating", "Grievance_Resolved", "Total_Pipeline_Days"]
+    n = len(names)
+    cells = [(i, j) for i in range(n) for j in range(n + 1)]
+    ctes = [f"""d AS (SELECT CAST(System_Size_kW AS DOUBLE) AS x0, CAST(Monthly_Bill_Savings_Rs AS DOUBLE) AS x1,
+    CAST(Vendor_Rating AS DOUBLE) AS x2, coalesce(CAST(CAST(Grievance_Resolved AS INTEGER) AS DOUBLE), 0e0) AS x3,
+    CAST({_TPD} AS DOUBLE) AS x4, CAST(Satisfaction_Score AS DOUBLE) AS y FROM applications),
+c AS (SELECT * FROM d WHERE x0 + x1 + x2 + x4 + y IS NOT NULL),
+z AS (SELECT y, """ + ", ".join(
+        f"(x{i} - avg(x{i}) OVER ()) / coalesce(nullif(stddev_pop(x{i}) OVER (), 0), 1) AS x{i}" for i in range(n))
+        + " FROM c),\ne0 AS (SELECT avg(y) AS mean, var_pop(y) AS var, count(*) AS n, "
+        + ", ".join(f"covar_pop(x{i}, {'y' if j == n else f'x{j}'}) AS a{i}{j}" for i, j in cells)
+        + ", " + ", ".join(f"covar_pop(x{i}, y) AS b{i}" for i in range(n)) + " FROM z)"]
+    for k in range(n):
+        step = [f"a{k}{j} / a{k}{k} AS a{k}{j}" if i == k else f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}"
+                for i, j in cells]
+        ctes.append(f"e{k + 1} AS (SELECT mean, var, n, " + ", ".join(step) + ", "
+                    + ", ".join(f"b{i}" for i in range(n)) + f" FROM e{k})")
+    fit = " + ".join(f"a{i}{n} * b{i}" for i in range(n))
+    rows = " UNION ALL ".join(
+        f"SELECT '{x}' AS Feature, a{i}{n} AS w, mean, ({fit}) / var AS r2, n FROM e{n}" for i, x in enumerate(names))
+    return ("WITH " + ",\n".join(ctes) + f", r AS ({rows}) SELECT Feature, round_even(w, 6) AS Coefficient, "
+            "round_even(mean, 6) AS Intercept, round_even(r2, 6) AS R2, n AS Rows, "
+            "abs(w) = max(abs(w)) OVER () AS Most_Influential FROM r")
+
+
+@register("ols_standardised", _ols_sql())
 def _ols(t):
     a = t.applications().withColumn("Total_Pipeline_Days", fe.pipeline_days())
-    return st.ols_standardised(a, ["System_Size_kW", "Monthly_Bill_Savings_Rs", "Vendor_Rating", "Grievance_Resolved",
-                                   "Total_Pipeline_Days"], "Satisfaction_Score", fill_zero=["Grievance_Resolved"])
+    fit = st.ols_standardised(a, ["System_Size_kW", "Monthly_Bill_Savings_Rs", "Vendor_Rating", "Grievance_Resolved",
+                                  "Total_Pipeline_Days"], "Satisfaction_Score", fill_zero=["Grievance_Resolved"])
+    return fit.withColumns({c: pandas_round(c, 6) for c in ("Coefficient", "Intercept", "R2")})
 
 
 # ======================================================= applications: D
@@ -1037,3 +1070,71 @@ def _cooc(t):
 
 def names() -> list[str]:
     return list(QUERIES)
+
+
+# ================================================== sources and sinks (2.1)
+def _scratch(t, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+
+
+@register("read_table", "SELECT n_nationkey, n_name FROM nation")
+def _read_table(t):
+    return io.read_table(t.spark, f"{t.sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+
+
+@register("normalise_headers", """SELECT n_nationkey AS Nation_Key, n_name AS Nation_Name, n_regionkey AS Nation_Name_1,
+n_name AS col FROM nation""")
+def _normalise_headers(t):
+    raw = t.base("nation").select(F.col("n_nationkey").alias("Nation\xa0 Key "), F.col("n_name").alias(" Nation-Name"),
+                                  F.col("n_regionkey").alias("Nation  (Name)"), F.col("n_name").alias("%"))
+    return io.normalise_headers(raw)
+
+
+@register("null_tokens", """SELECT sample_code, nullif(expiry_raw, 'not printed') AS expiry_raw,
+CASE WHEN oil_raw NOT IN ('ghee blend', 'olive oil') THEN oil_raw END AS oil_raw FROM collection""")
+def _null_tokens(t):
+    raw = t.collection().select("sample_code", "expiry_raw", "oil_raw")
+    return io.null_tokens(raw, ["not printed", "ghee blend", "olive oil"])
+
+
+@register("sql_suite_over_view", _ORACLE_REPORTS["s1_state_conversion"])
+def _sql_suite(t):
+    io.register_view(t.applications(), "tally_applications")
+    return R.run_sql_suite(t.spark, t.spark.table("tally_applications"), ["s1_state_conversion"])["s1_state_conversion"]
+
+
+@register("fill_null", """SELECT Application_ID, coalesce(Grievance_TAT_Days, 0) AS Grievance_TAT_Days,
+coalesce(Grievance_Type, 'none') AS Grievance_Type FROM applications""")
+def _fill_null(t):
+    return fe.fill_null(t.applications().select("Application_ID", "Grievance_TAT_Days", "Grievance_Type"),
+                        {"Grievance_TAT_Days": 0, "Grievance_Type": "none"})
+
+
+@register("write_report", _ORACLE_REPORTS["s5_grievance_summary"])
+def _write_report(t):
+    paths = io.write_report({"S5 Grievances": R.s5_grievance_summary(t.applications())}, _scratch(t, "report"))
+    return io.read_table(t.spark, paths["S5 Grievances"])
+
+
+@register("write_if_nonempty", """SELECT true AS written, false AS written_when_empty, count(*) AS n_rows FROM applications
+WHERE Has_Grievance""")
+def _write_if_nonempty(t):
+    rows = t.applications().where("Has_Grievance").select("Application_ID", "Grievance_Type")
+    path = _scratch(t, "rows")
+    full = io.write_if_nonempty(rows, path)
+    none = io.write_if_nonempty(rows.where("Application_ID is null and Grievance_Type = '-'"), path + "-none")
+    back = io.read_table(t.spark, path)
+    return back.agg(F.lit(full).alias("written"), F.lit(none).alias("written_when_empty"),
+                    F.count("*").alias("n_rows")).select("written", "written_when_empty", "n_rows")
+
+
+@register("write_enriched", """SELECT State, count(*) AS n_rows, round_even(sum(Market_Cost_Rs), 2) AS cost FROM applications
+WHERE State IS NOT NULL GROUP BY State""")
+def _write_enriched(t):
+    path = _scratch(t, "enriched")
+    rows = t.applications().where("State is not null").select("Application_ID", "State", "Market_Cost_Rs")
+    io.write_enriched(rows, path, partition_by=["State"])
+    back = t.spark.read.schema(rows.schema).parquet(path)
+    return back.groupBy("State").agg(F.count("*").alias("n_rows"),
+                                     pandas_round(F.sum("Market_Cost_Rs"), 2).alias("cost"))
