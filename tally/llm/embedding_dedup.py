@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .components import components
 from .documents import given, number
+from .groups import whole_groups
 
 #: Width of a projection's cells.
 CELL = 1.0
@@ -119,18 +120,8 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: floa
             .repartition(*groups).sortWithinPartitions(*groups))
 
     def compare(batches):
-        held_back: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held_back is not None:
-                table = pa.concat_tables([held_back, table])
-            key = np.stack([table.column(c).to_numpy() for c in range(4)])
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            last = int(cut[-1]) if len(cut) else 0
-            held_back = table.slice(last)  # may go on in the next batch
-            yield from _compare_groups(table.slice(0, last), cut[:-1], threshold)
-        if held_back is not None:
-            yield from _compare_groups(held_back, np.zeros(0, np.int64), threshold)
+        for table, ranges in whole_groups(batches, 4):
+            yield from _compare_groups(table, ranges, threshold)
 
     found = cut_lineage(work.mapInArrow(compare, "_rep long, _links long, _with long"))
     links = found.groupBy("_rep").agg(F.sum("_links").alias("_links"))
@@ -145,11 +136,8 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: floa
         given(component).alias("component_id"), (F.col("_id") == component).alias("kept"))
 
 
-def _compare_groups(table: pa.Table, cuts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+def _compare_groups(table: pa.Table, ranges: list[tuple[int, int]], threshold: float) -> Iterator[pa.RecordBatch]:
     """Counts and spanning links of consecutive groups of rows."""
-    if not table.num_rows:
-        return
-    table = table.combine_chunks()
     number, side_i, side_j, own = (table.column(c).to_numpy() for c in (0, 2, 3, 4))
     rep, weight = table.column(5).to_numpy(), table.column(6).to_numpy()
     vec, codes = (table.column(c).chunk(0) for c in (7, 8))
@@ -158,8 +146,7 @@ def _compare_groups(table: pa.Table, cuts: np.ndarray, threshold: float) -> Iter
     codes = codes.flatten().to_numpy().reshape(-1, tables)
     size = np.diff(starts)
     out_rep, out_links, out_with = [], [], []
-    bounds = [0, *cuts.tolist(), table.num_rows]
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+    for lo, hi in ranges:
         if hi - lo < 2:
             continue
         # (codes of different dimensions do not collide but by chance)

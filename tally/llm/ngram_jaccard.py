@@ -20,12 +20,16 @@ fragments as well; each fragment's partial overlap of a pair is counted in its
 own row, wherever that fragment lives, and the partial overlaps are summed
 per pair.  The threshold is tested in whole numbers.
 
-*Groups.*  Equal sets are one class from the start.  Within the documents of
-one piece only the links to the smallest class are counted first.  Classes
-already connected need no further comparison, so a large group of near copies
+*Groups.*  Equal sets are one class from the start.  Of the documents of one
+piece, the one that shares most with others (as an original does with its
+copies) is the hub, and only the links to it are counted first.  Classes
+connected by them need no further comparison, so a large group of near copies
 costs one pair per member and not all pairs.  What is left are documents that
-share a piece across different components; those pairs are counted in a
-second round, each once, so no link between different components is lost.
+share a piece across different components.  Groups of up to ``FEW`` pair them
+directly; larger ones are compared in blocks, every two blocks in a task of
+their own, by parity sketches of two bits per n-gram whose difference never
+exceeds that of the sets, and only pairs that the sketches cannot rule out
+are counted.  No link between different components is lost.
 
 Defined results: a text without words, or null, has an empty set, links with
 nothing and is its own component; rows that repeat an id are in one component
@@ -47,9 +51,12 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .components import components
 from .documents import given, number, numbered
+from .groups import whole_groups
 from .words import LOWER, NON_SPACE, Words, mix, ngrams, signed, slices, text_buffers
 
 _U = np.uint64
+#: Documents of a piece that are paired directly, and rows of a block beyond.
+FEW, BLOCK = 8, 512
 #: Fragments of the n-gram order in which partial overlaps are counted.
 FRAGMENTS = 4
 #: Up to this many differences all sets with that many n-grams left out are
@@ -136,6 +143,43 @@ def _borders(fragments: int) -> np.ndarray:
     return np.array([i * 2**64 // fragments for i in range(1, fragments)], np.uint64)
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """Parities of two bits per n-gram (a power of two of them).  Folding a
+    sketch in half gives that of the smaller size."""
+    bits = 1 << max(6, int(2 * len(grams) - 1).bit_length())
+    odd = np.bincount((mix(grams) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart_pairs(table: pa.Table, ranges: list[tuple[int, int]], p: int, q: int) -> pa.RecordBatch:
+    """Pairs of each group, in different components, that the sketches allow."""
+    i, j, own, class_, size, label = (table.column(c).to_numpy() for c in range(1, 7))
+    sketches = table.column(7)
+    out = []
+    for lo, hi in ranges:
+        if hi - lo < 2:
+            continue
+        raw = [np.frombuffer(x.as_py(), np.uint64) for x in sketches.slice(lo, hi - lo)]
+        wide = min(map(len, raw))
+        part = np.stack([np.bitwise_xor.reduce(x.reshape(-1, wide), axis=0) for x in raw])
+        n, who, name, side = size[lo:hi].astype(np.int64), label[lo:hi], class_[lo:hi], own[lo:hi]
+        for a in range(0, hi - lo, 32):
+            rows = slice(a, a + 32)
+            both = n[rows, None] + n[None, :]
+            apart = np.bitwise_count(part[rows, None, :] ^ part[None, :, :]).sum(axis=2, dtype=np.int64)
+            fit = (apart * (p + q) <= both * (q - p)) & (who[rows, None] != who[None, :])
+            fit &= np.minimum(n[rows, None], n[None, :]) * q >= np.maximum(n[rows, None], n[None, :]) * p
+            fit &= name[rows, None] < name[None, :]
+            if i[lo] != j[lo]:
+                fit &= side[rows, None] != side[None, :]
+            x, y = np.nonzero(fit)
+            out.append((name[rows][x], n[rows][x], name[y], n[y]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+    return pa.RecordBatch.from_arrays([
+        pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]),
+        pa.array(columns[3].astype(np.int32))], names=["a", "na", "b", "nb"])
+
+
 def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5,
                        similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """Columns: the id, ``n_shingles`` and ``component_id`` (the smallest id
@@ -197,9 +241,17 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
 
     group = Window.partitionBy("_piece")
     pieces = docs.mapInArrow(send, "_piece long, _class long, _n int")
-    shared = cut_lineage(pieces.withColumn("_hub", F.min("_class").over(group))
-                         .withColumn("_last", F.max("_class").over(group)).where("_hub <> _last")
-                         .select("_piece", "_class", "_n", "_hub").distinct())
+    shared = cut_lineage(pieces.withColumn("_least", F.min("_class").over(group))
+                         .withColumn("_last", F.max("_class").over(group)).where("_least <> _last")
+                         .select("_piece", "_class", "_n").distinct())
+    # How much a document shares: the other members of all its pieces.
+    members_of = cut_lineage(shared.groupBy("_piece").agg(F.count("*").alias("_m")))
+    sized = shared.join(members_of, "_piece")
+    score = sized.groupBy("_class").agg(F.sum(F.col("_m") - 1).alias("_score"))
+    scored = cut_lineage(sized.join(score, "_class"))
+    best = F.max(F.struct("_score", "_class", "_n")).alias("_hub")
+    hubs = cut_lineage(scored.groupBy("_piece").agg(best).select(
+        "_piece", F.col("_hub._class").alias("a"), F.col("_hub._n").alias("na")))
 
     # Sets of the documents involved, one row per fragment.
     involved = shared.select("_class").distinct().join(classes, "_class").select("_class", F.col("_rep").alias("_id"))
@@ -207,7 +259,7 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     def cut(batches):
         done = set()
         for batch in batches:
-            prints, parts, pieces_ = [], [], []
+            prints, parts, pieces_, sketches = [], [], [], []
             for print_, grams in zip(batch.column(2).to_pylist(), _sets(batch.column(1), n), strict=True):
                 if not len(grams) or _class(grams) != print_ or print_ in done:
                     continue  # the row given twice, or another text under the same id
@@ -217,14 +269,16 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
                     prints.append(print_)
                     parts.append(j)
                     pieces_.append(signed(piece))
+                    sketches.append(None if j else _sketch(grams))
             sizes = np.array([len(x) for x in pieces_], np.int64)
             values = pa.array(np.concatenate(pieces_) if pieces_ else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(parts, pa.int32()), lists],
-                                             names=["_class", "_part", "_grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(parts, pa.int32()), lists,
+                                              pa.array(sketches, pa.binary())],
+                                             names=["_class", "_part", "_grams", "_sketch"])
 
     wanted = docs.join(involved, "_id").select("_id", "_text", "_class")
-    sets = cut_lineage(wanted.mapInArrow(cut, "_class long, _part int, _grams array<long>"))
+    sets = cut_lineage(wanted.mapInArrow(cut, "_class long, _part int, _grams array<long>, _sketch binary"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, na, b, nb) that reach the similarity."""
@@ -239,24 +293,50 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     def sizes_fit(na, nb):
         return F.least(na, nb) * q >= F.greatest(na, nb) * p
 
-    size = classes.select(F.col("_class"), F.col("n_shingles"))
-    first = (shared.where("_class <> _hub").select(F.col("_hub").alias("a"), F.col("_class").alias("b"),
-                                                   F.col("_n").alias("nb")).distinct()
-             .join(size.select(F.col("_class").alias("a"), F.col("n_shingles").alias("na")), "a")
-             .where(sizes_fit(F.col("na"), F.col("nb"))))
+    def ordered(pairs: DataFrame) -> DataFrame:
+        """Different pairs, the smaller class first."""
+        turn = F.col("a") < F.col("b")
+        either = lambda x, y: F.when(turn, F.col(x)).otherwise(F.col(y))
+        return pairs.select(either("a", "b").alias("a"), either("na", "nb").alias("na"),
+                            either("b", "a").alias("b"), either("nb", "na").alias("nb")).distinct()
+
+    first = cut_lineage(ordered(
+        scored.join(hubs, "_piece").where(F.col("_class") != F.col("a"))
+        .select("a", "na", F.col("_class").alias("b"), F.col("_n").alias("nb"))
+        .where(sizes_fit(F.col("na"), F.col("nb")))))
     links = cut_lineage(linked(first))
     joined = cut_lineage(components(links))
 
     # Second round: documents of one piece that are still apart.
-    labelled = shared.join(joined.withColumnRenamed("node", "_class"), "_class", "left").select(
-        "_piece", "_class", "_n", F.coalesce("component", "_class").alias("_label"))
-    apart = (labelled.withColumn("_min", F.min("_label").over(group)).withColumn("_max", F.max("_label").over(group))
-             .where("_min <> _max").select("_piece", "_class", "_n", "_label"))
-    one = apart.select("_piece", F.col("_class").alias("a"), F.col("_n").alias("na"), F.col("_label").alias("_la"))
-    two = apart.select("_piece", F.col("_class").alias("b"), F.col("_n").alias("nb"), F.col("_label").alias("_lb"))
+    labelled = scored.join(joined.withColumnRenamed("node", "_class"), "_class", "left").select(
+        "_piece", "_class", "_n", "_m", F.coalesce("component", "_class").alias("_label"))
+    labelled = cut_lineage(labelled)
+    open_ = cut_lineage(labelled.groupBy("_piece").agg(F.min("_label").alias("_min"), F.max("_label").alias("_max"))
+                        .where("_min <> _max").select("_piece"))
+    apart = labelled.join(open_, "_piece")
+    one = apart.where(F.col("_m") <= FEW).select(
+        "_piece", F.col("_class").alias("a"), F.col("_n").alias("na"), F.col("_label").alias("_la"))
+    two = one.select("_piece", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("_la").alias("_lb"))
     meet = (F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & sizes_fit(F.col("na"), F.col("nb"))
-    rest = (one.join(two, "_piece").where(meet).select("a", "na", "b", "nb").distinct()
-            .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    few = one.join(two, "_piece").where(meet).select("a", "na", "b", "nb")
+
+    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    many = (apart.where(F.col("_m") > FEW).withColumn("_blocks", blocks)
+            .withColumn("_own", F.pmod(F.xxhash64("_class"), F.col("_blocks")).cast("int"))
+            .select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+            .select("_piece", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
+                    "_own", "_class", "_n", "_label"))
+    sketches = sets.where("_part = 0").select("_class", "_sketch")
+    cells = ["_piece", "_i", "_j"]
+    work = (many.join(sketches, "_class").select(*cells, "_own", "_class", "_n", "_label", "_sketch")
+            .repartition(*cells).sortWithinPartitions(*cells))
+
+    def compare(batches):
+        for table, ranges in whole_groups(batches, 3):
+            yield _apart_pairs(table, ranges, p, q)
+
+    met = work.mapInArrow(compare, "a long, na int, b long, nb int")
+    rest = ordered(few.unionByName(met)).join(first.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(linked(rest))
 
     rep = classes.select("_class", "_rep")

@@ -42,7 +42,10 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("seed,n,p,q", [(1, 4, 85, 100), (2, 5, 4, 5), (3, 2, 1, 2), (4, 1, 9, 10)])
-def test_jaccard_equals_all_pairs(spark, seed, n, p, q):
+def test_jaccard_equals_all_pairs(spark, monkeypatch, seed, n, p, q):
+    if seed % 2:  # also through blocks and sketches
+        monkeypatch.setattr(ngram_jaccard, "FEW", 2)
+        monkeypatch.setattr(ngram_jaccard, "BLOCK", 3)
     rows = corpus(seed, 300)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id)
@@ -68,6 +71,38 @@ def test_linked_sets_share_a_piece():
             assert (both.tolist() == other.tolist()) or len(np.intersect1d(a, b))
 
 
+def test_copies_that_the_hub_does_not_reach(spark, monkeypatch):
+    """Chains and scattered copies of one text, most of them too far from
+    every hub: links between them are found all the same."""
+    monkeypatch.setattr(ngram_jaccard, "FEW", 3)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(160)]
+    rows = {}
+    for i in range(150):
+        copy = list(rows[rng.randrange(i)].split(" ")) if i and rng.random() < 0.5 else list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows[i] = " ".join(copy)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in ngram_jaccard.jaccard_components(df, "doc_id", "text", 3, Fraction(4, 5)).collect()}
+    want, links = brute.jaccard_components(rows, 3, 4, 5)
+    assert links > 30 and 5 < len(set(c for _, c in want.values())) < 140
+    assert got == want
+
+
+def test_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64))
+        other = np.unique(np.concatenate([base[rng.integers(0, 9):], rng.integers(0, 2**63, 5, dtype=np.uint64)]))
+        a, b = (np.frombuffer(ngram_jaccard._sketch(x), np.uint64) for x in (base, other))
+        wide = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(x.reshape(-1, wide), axis=0) for x in (a, b))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(base, other))
+
+
 def test_jaccard_defined_cases(spark):
     long = " ".join(f"x{i}" for i in range(20000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One TWO three"), (5, "one two three"), (6, "one two"), (7, long),
