@@ -190,6 +190,12 @@ def py_float(c) -> Column:
                   F.regexp_replace(s, "_", "").try_cast("double"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` written once (an expression that names
+    it several times would otherwise grow with every step)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def py_fixed4(x: Column) -> Column:
     """Python ``f"{x:.4f}"`` of a double: the exact binary value rounded
     half-even to four decimals (Java formats the shortest decimal half-up).
@@ -198,31 +204,32 @@ def py_fixed4(x: Column) -> Column:
     (splitting the fraction in two halves), so the comparison with one half
     is exact.  Whole parts of 2^53 and more are exact integers, spelt through
     a decimal product up to 2^115; larger ones keep Java's digits."""
-    size = F.abs(x)
-    whole = F.when(size < 2.0 ** 53, F.floor(size).cast("double")).otherwise(size)
-    part = size - whole
-    split = part * 134217729.0
-    high = split - (split - part)
-    product = part * 10000.0
-    error = (high * 10000.0 - product) + (part - high) * 10000.0
-    digits = F.floor(product).cast("double")
-    over = ((product - digits) - 0.5) + error
-    odd = F.pmod(digits, F.lit(2.0)) == 1
-    up = F.when((over > 0) | ((over == 0) & odd), 1.0).otherwise(0.0)
-    # a product rounded up to a whole number: its error is far from one half
-    scaled = (digits + up).cast("bigint")
-    small = F.concat((F.floor(size) + F.when(scaled >= 10000, 1).otherwise(0)).cast("string"), F.lit("."),
-                     F.lpad(F.pmod(scaled, F.lit(10000)).cast("string"), 4, "0"))
-    power = F.greatest(F.floor(F.log2(size)).cast("int") - 52, F.lit(0))
-    # 62 binary places at most: the mantissa stays below 2^53
-    factor = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(power, F.lit(62)))
-    mantissa = (size / factor.cast("double")).try_cast("bigint").cast("decimal(19,0)")
-    large = F.concat(F.try_multiply(mantissa, factor.cast("decimal(19,0)")).cast("string"), F.lit(".0000"))
-    text = (F.when(size < 2.0 ** 53, small).when(size < 2.0 ** 115, large)
-            .otherwise(F.format_string("%.4f", size)))
-    infinite = F.lit(float("inf"))
+    def rounded(part, product, high, whole):
+        digits = F.floor(product).cast("double")
+        over = ((product - digits) - 0.5) + ((high * 10000.0 - product) + (part - high) * 10000.0)
+        up = lambda o: F.when((o > 0) | ((o == 0) & (F.pmod(digits, F.lit(2.0)) == 1)), 1.0).otherwise(0.0)
+        return _let(_let(over, lambda o: (digits + up(o)).cast("bigint")), lambda n: F.concat(
+            (whole + F.when(n >= 10000, 1).otherwise(0)).cast("string"), F.lit("."),
+            F.lpad(F.pmod(n, F.lit(10000)).cast("string"), 4, "0")))
+
+    def small(size):
+        whole = F.floor(size)
+        high = lambda part: _let(part * 134217729.0, lambda s: s - (s - part))
+        return _let(size - whole.cast("double"), lambda part: _let(part * 10000.0, lambda product: _let(
+            high(part), lambda h: rounded(part, product, h, whole))))
+
+    def large(size):
+        # 62 binary places at most: the mantissa stays below 2^53
+        power = F.least(F.greatest(F.floor(F.log2(size)).cast("int") - 52, F.lit(0)), F.lit(62))
+        factor = F.call_function("shiftleft", F.lit(1).cast("bigint"), power)
+        return _let(factor, lambda f: F.concat(F.try_multiply(
+            (size / f.cast("double")).try_cast("bigint").cast("decimal(19,0)"), f.cast("decimal(19,0)")).cast("string"),
+            F.lit(".0000")))
+
+    text = _let(F.abs(x), lambda size: F.when(size < 2.0 ** 53, small(size)).when(size < 2.0 ** 115, large(size))
+                .otherwise(F.format_string("%.4f", size)))
     return (F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), F.lit("nan"))
-            .when(size == infinite, F.when(x > 0, "inf").otherwise("-inf"))
+            .when(F.abs(x) == F.lit(float("inf")), F.when(x > 0, "inf").otherwise("-inf"))
             .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text)))
 
 

@@ -83,8 +83,12 @@ COLLECTION_SQL = """
 WITH oil_dim AS (""" + OIL_DIM_SQL + """)
 SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderkey END AS sample_code,
   n_name AS city, o_orderpriority AS shop_type,
-  CASE o_orderkey % 7 WHEN 0 THEN upper(name) WHEN 1 THEN lower(replace(name, ' ', '')) WHEN 2 THEN concat('  ', name, ' ')
-       WHEN 3 THEN concat(substr(name, 1, 1), substr(name, 3)) WHEN 4 THEN 'ghee blend' WHEN 5 THEN NULL ELSE name END AS oil_raw,
+  CASE o_orderkey % 9 WHEN 0 THEN upper(name) WHEN 1 THEN lower(replace(name, ' ', '')) WHEN 2 THEN concat('  ', name, ' ')
+       WHEN 3 THEN concat(substr(name, 1, 1), substr(name, 3)) WHEN 4 THEN 'ghee blend' WHEN 5 THEN NULL
+       WHEN 6 THEN substr(name, 1, length(name) - 4)
+       WHEN 7 THEN CASE o_custkey % 6 WHEN 0 THEN 'Refined Vegetble Oil' WHEN 1 THEN 'refinedvegtoil' WHEN 2 THEN 'REFINED VEGETOIL'
+         WHEN 3 THEN 'Palmm Oil' WHEN 4 THEN 'Groundnuts Oil' ELSE 'groundnutsoils' END
+       ELSE name END AS oil_raw,
   concat(lpad(cast(day(o_orderdate) AS varchar(2)), 2, '0'), '/', lpad(cast(month(o_orderdate) AS varchar(2)), 2, '0'), '/',
          cast(year(o_orderdate) AS varchar(4))) AS mfg_raw,
   CASE WHEN o_custkey % 13 = 0 THEN 'not printed' ELSE
@@ -103,7 +107,19 @@ SELECT l_orderkey AS sample_code, n_name AS city_picked, upper(s.name) AS oil_sa
          WHEN 4 THEN '0.00005' WHEN 5 THEN concat(cast(l_partkey % 7 AS varchar(4)), '.', cast(l_suppkey AS varchar(9)), '5')
          ELSE cast(cast(l_quantity AS int) % 9 AS varchar(4)) END END AS lead,
   cast(cast(l_quantity AS int) % 5 AS varchar(4)) AS acid_value,
-  CASE WHEN l_partkey % 10 = 0 THEN 'Positive' ELSE 'Negative' END AS argemone
+  CASE WHEN l_partkey % 10 = 0 THEN 'Positive' ELSE 'Negative' END AS argemone,
+  cast(l_partkey % 8 AS varchar(4)) AS copper,
+  CASE WHEN l_partkey % 9 = 0 THEN 'ND' ELSE cast(l_suppkey % 7 AS varchar(4)) END AS arsenic,
+  concat(cast(l_partkey % 6 AS varchar(4)), '.5') AS tin,
+  CASE WHEN l_suppkey % 11 = 0 THEN 'not detected' WHEN l_suppkey % 13 = 0 THEN '7e0' ELSE '0.1' END AS cadmium,
+  CASE WHEN l_suppkey % 17 = 0 THEN '5.00006' ELSE ' 5 ' END AS mercury,
+  concat('0.', cast(l_partkey % 90 AS varchar(4))) AS aflatoxin_b1,
+  CASE WHEN l_partkey % 23 = 0 THEN '1_0' ELSE 'LOQ' END AS total_aflatoxins,
+  cast(150 + l_partkey % 40 AS varchar(4)) AS saponification_value,
+  cast(90 + l_suppkey % 35 AS varchar(4)) AS iodine_value,
+  CASE WHEN l_partkey % 31 = 0 THEN '130.00005' ELSE '130' END AS unsaponifiable_matter,
+  CASE WHEN l_partkey % 19 = 0 THEN ' POSITIVE ' ELSE 'Negative' END AS polybromide_test,
+  CASE WHEN l_suppkey % 29 = 0 THEN 'positive' END AS mineral_oil
 FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey
 JOIN oil_dim s ON s.idx = l_partkey % 12
 JOIN oil_dim b ON b.idx = CASE WHEN l_suppkey % 4 = 0 THEN (l_partkey + 1) % 12 WHEN l_suppkey % 4 = 1 AND l_partkey % 12 = 7 THEN 11

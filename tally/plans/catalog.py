@@ -849,7 +849,10 @@ def _std(t):
     return W.collection_std(t.collection()).select("sample_code", "oil_raw", "Oil_Type_Standardized")
 
 
-@register("standardize_labels_levenshtein", _C_STD + " SELECT sample_code, oil_raw, Oil_Type_Standardized FROM c_std")
+_C_STD_EDIT = "WITH " + O.canon_cte() + ",\n" + O.overrides_cte() + "," + O.collection_std_ctes("levenshtein")
+
+
+@register("standardize_labels_levenshtein", _C_STD_EDIT + " SELECT sample_code, oil_raw, Oil_Type_Standardized FROM c_std")
 def _std_lev(t):
     return W.collection_std(t.collection(), method="levenshtein").select("sample_code", "oil_raw", "Oil_Type_Standardized")
 
