@@ -10,8 +10,8 @@ Counting shuffles one 64-bit digest per different line of a page, summed on
 the map side first, so a host or line that holds a third of all rows is
 spread over all map tasks.  A host's boilerplate set is small by
 construction (at most its mean lines per page divided by the ratio); it is
-joined back per host, by broadcast if Spark finds it small and otherwise by a
-join whose skewed hosts Spark splits.  DataFrame functions only.
+joined back per host, by broadcast if its measured size is below Spark's
+limit and otherwise by a join whose skewed hosts Spark splits.  DataFrame functions only.
 
 Defined results: lines compare without surrounding blanks; blank lines are
 neither counted nor dropped; rows count as pages each, also repeated ones; a
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _BLANK = "\t\n\r\x0b\x0c "
 
 
@@ -58,7 +60,9 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: flo
     columns of those names already there are replaced."""
     if not 0 <= max_ratio <= 1:
         raise ValueError("the ratio lies between 0 and 1")
-    known = boilerplate(df, host_col, text_col, max_ratio, min_pages)
+    # Frozen, its size is known before the join is planned: a small table is
+    # broadcast and no text is shuffled.
+    known = cut_lineage(boilerplate(df, host_col, text_col, max_ratio, min_pages))
     rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     packed = df.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"),
                        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"))

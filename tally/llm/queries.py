@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import (
     decontaminate,
     embedding_dedup,
@@ -60,6 +61,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     text = pages.select("page_id", line_dedup.url_host(F.col("url")).alias("host"),
                         line_dedup.visible_text(F.col("html")).alias("text"))
+    text = cut_lineage(text)  # read twice: the HTML is parsed once
     return line_dedup.drop_boilerplate(text, "host", "text", LINE_RATIO)
 
 
@@ -67,7 +69,7 @@ def _html_sql(column: str) -> str:
     for pattern, new in line_dedup.VISIBLE_TEXT:
         column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
     for name, char in line_dedup.REFERENCES:
-        column = f"replace({column}, '{name}', '{char}')"
+        column = "replace({}, '{}', '{}')".format(column, name, char.replace("'", "''"))
     return column
 
 
