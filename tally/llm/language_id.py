@@ -40,7 +40,7 @@ SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 64, 4096, 40_000
 SEGMENT = 256
 UNDETERMINED = "und"
 #: Bytes per lockstep pass.
-_PASS = 1 << 22
+_PASS = 1 << 21
 _BLANK = 0x20
 _LETTER = byte_class(rb"[A-Za-z\x80-\xFF]")
 _SYMBOL = np.where(_LETTER, LOWER, _BLANK).astype(np.uint8)
@@ -132,6 +132,7 @@ class Parser:
         state = np.ones(n, np.int64)
         count = np.zeros(n, np.int64)
         for symbol in columns:
+            symbol = symbol.astype(np.int64)
             new = self.table[state * self.width + symbol]
             stop = new == 0
             count += (stop & (state != 1)) + self.unseen[symbol]
@@ -148,7 +149,7 @@ class Identifier:
             texts.append(symbols(data, np.array([0, len(data)]))[0])
         used = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint8)
         width = len(used) + 2  # padding, and one class for unseen symbols
-        self.classes = np.full(256, width - 1, np.int64)
+        self.classes = np.full(256, width - 1, np.uint8)  # at most 255 byte values occur in UTF-8
         self.classes[used] = np.arange(1, len(used) + 1)
         self.parsers = [Parser(t, self.classes, width) for t in texts]
 
@@ -166,8 +167,8 @@ class Identifier:
         length = np.minimum(at[1:][owner] - start, SEGMENT)
         order = np.argsort(-length, kind="stable")
         start, length, owner = start[order], length[order], owner[order]
-        classes = np.append(self.classes[sym], 0)
-        columns = np.zeros((SEGMENT, total), np.int64)
+        classes = np.append(self.classes[sym], np.uint8(0))
+        columns = np.zeros((SEGMENT, total), np.uint8)
         for t in range(int(length[0])):
             live = int(np.searchsorted(-length, -t, side="left"))
             columns[t, :live] = classes[start[:live] + t]
@@ -201,7 +202,7 @@ class Identifier:
         return langs, scores, bits
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _identifier(samples: tuple[tuple[str, bytes], ...]) -> Identifier:
     return Identifier(samples)
 

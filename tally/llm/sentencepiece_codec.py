@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Different chunks, and characters in them, that a worker keeps before the
 #: older generation is forgotten (a cache: results do not depend on it).
-CACHE_CHUNKS, CACHE_CHARS = 150_000, 8_000_000
+CACHE_CHUNKS, CACHE_CHARS = 50_000, 2_000_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 PIECES = T.StructType([
@@ -298,7 +298,7 @@ def _utf8(run: bytearray) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(proto: bytes) -> Codec:
     return Codec(proto)
 
