@@ -138,8 +138,10 @@ def remove_repeated(df: DataFrame, id_col: str, text_col: str, width: int = 20,
                                              names=["_cell", "_n"])
 
     unique = docs.join(copies.select("_id").distinct(), "_id", "left_anti")
-    sketch = (unique.mapInArrow(count, "_cell long, _n long").groupBy("_cell")
-              .agg(F.sum("_n").alias("_n")).where("_n > 1").select("_cell"))
+    # Frozen, so that the join below is a plain one whose skewed cells (a very
+    # common passage) Spark can split.
+    sketch = cut_lineage(unique.mapInArrow(count, "_cell long, _n long").groupBy("_cell")
+                         .agg(F.sum("_n").alias("_n")).where("_n > 1").select("_cell"))
 
     # -- second pass: anchors in repeated cells, then their windows
     def place(batches):
