@@ -163,8 +163,9 @@ def _apart_pairs(table: pa.Table, ranges: list[tuple[int, int]], p: int, q: int)
         wide = min(map(len, raw))
         part = np.stack([np.bitwise_xor.reduce(x.reshape(-1, wide), axis=0) for x in raw])
         n, who, name, side = size[lo:hi].astype(np.int64), label[lo:hi], class_[lo:hi], own[lo:hi]
-        for a in range(0, hi - lo, 32):
-            rows = slice(a, a + 32)
+        step = max(1, (1 << 19) // ((hi - lo) * wide))  # a few megabytes at a time
+        for a in range(0, hi - lo, step):
+            rows = slice(a, a + step)
             both = n[rows, None] + n[None, :]
             apart = np.bitwise_count(part[rows, None, :] ^ part[None, :, :]).sum(axis=2, dtype=np.int64)
             fit = (apart * (p + q) <= both * (q - p)) & (who[rows, None] != who[None, :])
@@ -251,7 +252,7 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     scored = cut_lineage(sized.join(score, "_class"))
     best = F.max(F.struct("_score", "_class", "_n")).alias("_hub")
     hubs = cut_lineage(scored.groupBy("_piece").agg(best).select(
-        "_piece", F.col("_hub._class").alias("a"), F.col("_hub._n").alias("na")))
+        "_piece", F.col("_hub._score").alias("_lead"), F.col("_hub._class").alias("a"), F.col("_hub._n").alias("na")))
 
     # Sets of the documents involved, one row per fragment.
     involved = shared.select("_class").distinct().join(classes, "_class").select("_class", F.col("_rep").alias("_id"))
@@ -300,10 +301,14 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
         return pairs.select(either("a", "b").alias("a"), either("na", "nb").alias("na"),
                             either("b", "a").alias("b"), either("nb", "na").alias("nb")).distinct()
 
+    # Of its pieces' hubs, each document is compared with the leading one.
+    lead = F.max(F.struct("_lead", "a", "na")).alias("_hub")
     first = cut_lineage(ordered(
         scored.join(hubs, "_piece").where(F.col("_class") != F.col("a"))
-        .select("a", "na", F.col("_class").alias("b"), F.col("_n").alias("nb"))
-        .where(sizes_fit(F.col("na"), F.col("nb")))))
+        .where(sizes_fit(F.col("na"), F.col("_n")))
+        .groupBy("_class", "_n").agg(lead)
+        .select(F.col("_hub.a").alias("a"), F.col("_hub.na").alias("na"), F.col("_class").alias("b"),
+                F.col("_n").alias("nb"))))
     links = cut_lineage(linked(first))
     joined = cut_lineage(components(links))
 
