@@ -26,3 +26,16 @@ def test_item_in_a_third_of_all_documents(spark):
     assert all(r.covered == 1.0 and r.cosine > 0 for r in out)
     clean = decontaminate.drop_contaminated(df, "text", bench, "text")
     assert {r.doc_id for r in clean.collect()} == {i for i in range(300) if i % 3}
+
+
+def test_copy_beside_a_better_looking_place(spark):
+    rng = random.Random(13)
+    items = [prose(rng, 15) + [f"item{k}word{j}" for j in range(10)] + prose(rng, 15) for k in range(10)]
+    decoy, copy = [items[0][20]] * 40, items[0]  # one rare word again and again
+    docs = [(0, decoy + prose(rng, 45) + copy), (1, copy + prose(rng, 45) + decoy), (2, decoy),
+            (3, decoy + (prose(rng, 30) + decoy) * 20 + prose(rng, 45) + copy)]
+    docs += [(i, prose(rng, 200)) for i in range(4, 100)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id int, text string")
+    out = decontaminate.contaminated(df, "doc_id", "text", bench, "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id, r.covered) for r in out} == {(0, 0, 1.0), (1, 0, 1.0), (3, 0, 1.0)}
