@@ -122,11 +122,13 @@ class Codec:
         #: only thing normalised.
         self.widths = np.array([1 if b >= 0 else len(x.encode("utf-8"))
                                 for b, x in zip(self.byte_values, self.surfaces, strict=True)])
+        self.spelt = self.widths < 0  # by id: is it a byte piece
+        self.spelt[list(self.byte_ids)] = True
         self.decimals = [str(i) for i in range(len(self.kinds))]
         self.mark_id = self.library.piece_to_id(MARK)
         self.end_id = self.library.eos_id()
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.weight = 0
 
     # -- normalisation -----------------------------------------------------
@@ -185,10 +187,10 @@ class Codec:
 
     # -- segmentation ------------------------------------------------------
 
-    def learn(self, cut: list[list[str]]) -> dict[str, tuple]:
-        """Segment the chunks not yet known; entries are (number of ids, ids
-        as text, surface, ids as packed 32-bit numbers).  Returns the table that holds every chunk of
-        ``cut``; what was used least lately is forgotten between calls."""
+    def learn(self, cut: list[list[str]]) -> dict[str, bytes]:
+        """Segment the chunks not yet known; entries are the ids as packed
+        32-bit numbers.  Returns the table that holds every chunk of ``cut``;
+        what was used least lately is forgotten between calls."""
         if len(self.young) > CACHE_CHUNKS or self.weight > CACHE_CHARS:
             self.old, self.young = (self.young if self.weight <= CACHE_CHARS else {}), {}
             self.weight = 0
@@ -202,11 +204,9 @@ class Codec:
                 self.weight += len(chunk)
             else:
                 young[chunk] = entry
-        spell = self.decimals.__getitem__
         for chunk, ids in zip(missing, self.library.encode(missing, num_threads=1), strict=True):
             ids = ids or [self.mark_id]  # a lone space at the end of a text
-            young[chunk] = (len(ids), " ".join(map(spell, ids)), self.surface(ids),
-                            np.array(ids, np.int32).tobytes())
+            young[chunk] = np.array(ids, np.int32).tobytes()
         return young
 
     def surface(self, ids: list[int]) -> str:
@@ -229,7 +229,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of an id list; the dummy prefix of the first piece goes."""
-        for i in ids:
+        for i in (min(ids, default=0), max(ids, default=0)):
             if not 0 <= i < len(self.kinds):
                 raise ValueError(f"id {i} is outside the vocabulary")
         text = self.surface(ids)
@@ -239,18 +239,21 @@ class Codec:
             text = text[1:]
         return text
 
-    def ids(self, text: str, table: dict[str, tuple]) -> np.ndarray:
-        return np.frombuffer(b"".join([table[c][3] for c in self.chunks(text)]), np.int32)
+    def ids(self, text: str, table: dict[str, bytes], chunks: list[str] | None = None) -> np.ndarray:
+        """Ids of a text (``chunks``, where they are known already)."""
+        chunks = self.chunks(text) if chunks is None else chunks
+        return np.frombuffer(b"".join(map(table.__getitem__, chunks)), np.int32)
 
-    def spans(self, text: str, table: dict[str, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spans(self, text: str, table: dict[str, bytes],
+              chunks: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text and each piece's byte span in the original.  Byte
         pieces of one character share that character's span."""
-        ids = self.ids(text, table)
+        ids = self.ids(text, table, chunks)
         if not self.plain(text) or (ids == self.library.unk_id()).any():
             return ids, *self._aligned(text, ids)
         end = np.cumsum(self.widths[ids]) - int(self.dummy)
         begin = np.maximum(end - self.widths[ids], 0)
-        spelt = np.flatnonzero(np.isin(ids, list(self.byte_ids))) if len(ids) else ids
+        spelt = np.flatnonzero(self.spelt[ids])
         if len(spelt):
             raw = np.frombuffer(text.encode("utf-8"), np.uint8)
             leads = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -321,6 +324,18 @@ def _groups(texts: list[str], limit: int = 1 << 21) -> Iterator[list[str]]:
         yield group
 
 
+def _encoded(codec: Codec, texts: list[str]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Ids, begins and ends of every text, group by group, the end id last."""
+    for group in _groups(texts):
+        cut = [codec.chunks(t) for t in group]
+        table = codec.learn(cut)
+        out = []
+        for text, chunks in zip(group, cut, strict=True):
+            last = (codec.end_id, *[len(text.encode("utf-8"))] * 2)
+            out.append(tuple(np.append(x, z) for x, z in zip(codec.spans(text, table, chunks), last, strict=True)))
+        yield out
+
+
 def encode(df: DataFrame, id_col: str, text_col: str, model_path: str) -> DataFrame:
     """One row per input row: the id column, ``ids`` with the end id last,
     and ``begins``/``ends``, each piece's byte span in the original text (the
@@ -334,17 +349,12 @@ def encode(df: DataFrame, id_col: str, text_col: str, model_path: str) -> DataFr
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             done = 0
-            for group in _groups(texts):
-                table = codec.learn([codec.chunks(t) for t in group])
-                out = [codec.spans(t, table) for t in group]
-                sizes = [len(t.encode("utf-8")) for t in group]
-                last = [[codec.end_id] * len(group), sizes, sizes]
+            for out in _encoded(codec, texts):
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(done, len(group)),
-                    *[_lists([np.append(x[k], z) for x, z in zip(out, last[k], strict=True)], kind)
-                      for k, kind in enumerate((np.int32, np.int64, np.int64))],
+                    batch.column(0).slice(done, len(out)),
+                    *[_lists([x[k] for x in out], kind) for k, kind in enumerate((np.int32, np.int64, np.int64))],
                 ], names=[id_col, "ids", "begins", "ends"])
-                done += len(group)
+                done += len(out)
 
     return rows.mapInArrow(run, schema)
 
@@ -372,43 +382,37 @@ def decode(df: DataFrame, id_col: str, ids_col: str, model_path: str) -> DataFra
 
 
 def round_trip(df: DataFrame, id_col: str, text_col: str, model_path: str, with_ids: bool = False) -> DataFrame:
-    """Encode and decode in one pass: ``n_tokens``, ``ids_sha256`` (decimal
-    ids joined by one space) and ``decoded_sha256``, and on request the
+    """:func:`encode`, and :func:`decode` of its ids, in one pass:
+    ``n_tokens``, ``ids_sha256`` (decimal ids joined by one space),
+    ``decoded_sha256`` (of the text decoded from the ids), ``spans_sha256``
+    (begins, then ends, as little-endian 64-bit numbers), and on request the
     ``ids`` themselves; the end id counts."""
     proto = _shared(df, model_path)
     rows = df.select(F.col(id_col), F.col(text_col).alias("_text"))
     schema = T.StructType([rows.schema[0], T.StructField("n_tokens", T.LongType(), False),
                            T.StructField("ids_sha256", T.StringType(), False),
-                           T.StructField("decoded_sha256", T.StringType(), False)]
+                           T.StructField("decoded_sha256", T.StringType(), False),
+                           T.StructField("spans_sha256", T.StringType(), False)]
                           + [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(proto.value)
-        tail, packed_tail = str(codec.end_id), np.array([codec.end_id], np.int32).tobytes()
+        spell = codec.decimals.__getitem__
         for batch in batches:
             done = 0
-            for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
-                cut = [codec.chunks(t) for t in group]
-                table = codec.learn(cut)
-                counts, id_digests, text_digests, packed = [], [], [], []
-                for chunks in cut:
-                    found = [table[c] for c in chunks]
-                    counts.append(sum([x[0] for x in found]) + 1)
-                    spelt = " ".join([x[1] for x in found] + [tail])
-                    id_digests.append(hashlib.sha256(spelt.encode()).hexdigest())
-                    surface = "".join([x[2] for x in found])
-                    if codec.dummy and surface.startswith(" "):
-                        surface = surface[1:]
-                    text_digests.append(hashlib.sha256(surface.encode("utf-8")).hexdigest())
-                    if with_ids:
-                        packed += [b"".join([x[3] for x in found]), packed_tail]
-                columns = [batch.column(0).slice(done, len(group)), pa.array(counts, pa.int64()),
-                           pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+            for out in _encoded(codec, [t or "" for t in batch.column(1).to_pylist()]):
+                digests: list[list[str]] = [[], [], []]
+                for ids, begins, ends in out:
+                    plain = ids.tolist()
+                    parts = (" ".join(map(spell, plain)).encode(), codec.decode(plain).encode("utf-8"),
+                             np.concatenate([begins, ends]).astype("<i8").tobytes())
+                    for digest, part in zip(digests, parts, strict=True):
+                        digest.append(hashlib.sha256(part).hexdigest())
+                columns = [batch.column(0).slice(done, len(out)), pa.array([len(x[0]) for x in out], pa.int64()),
+                           *[pa.array(x, pa.string()) for x in digests]]
                 if with_ids:
-                    ends = np.cumsum([0] + counts).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(
-                        pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+                    columns.append(_lists([x[0] for x in out], np.int32))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-                done += len(group)
+                done += len(out)
 
     return rows.mapInArrow(run, schema)

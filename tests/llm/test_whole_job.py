@@ -1,6 +1,13 @@
+import hashlib
 import random
 
-from tally.llm import decontaminate
+import numpy as np
+from pyspark.sql import functions as F
+
+from tally.llm import decontaminate, sentencepiece_codec
+from tally.llm.queries import PIECE_MODEL, op1_sentencepiece
+
+SF_SMALL = "/root/testdata/sf0.001"
 
 VOCABULARY = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru", "te") for b in ("", "na", "so", "vi") for c in
               ("ban", "dor", "fel", "gim", "hul", "jap", "kes", "lom")]
@@ -39,3 +46,20 @@ def test_copy_beside_a_better_looking_place(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id int, text string")
     out = decontaminate.contaminated(df, "doc_id", "text", bench, "item_id", "text").collect()
     assert {(r.doc_id, r.item_id, r.covered) for r in out} == {(0, 0, 1.0), (1, 0, 1.0), (3, 0, 1.0)}
+
+
+# -- codec -----------------------------------------------------------------
+
+def test_digests_are_of_encoded_spans_and_decoded_ids(spark):
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    pieces = sentencepiece_codec.encode(docs, "doc_id", "text", PIECE_MODEL)
+    text = sentencepiece_codec.decode(pieces, "doc_id", "ids", PIECE_MODEL)
+    back = {r.doc_id: sha(r.text.encode()) for r in text.collect()}
+    want = {r.doc_id: (sha(np.array(r.begins + r.ends, "<i8").tobytes()), back[r.doc_id]) for r in pieces.collect()}
+    got = {r.doc_id: (r.spans_sha256, r.decoded_sha256) for r in op1_sentencepiece(spark, SF_SMALL).collect()}
+    assert got == want
+    odd = docs.select("doc_id", F.lit("a \u2581 b  \u00e9\U00010348").alias("text")).limit(1)
+    row = sentencepiece_codec.encode(odd, "doc_id", "text", PIECE_MODEL).first()
+    both = sentencepiece_codec.round_trip(odd, "doc_id", "text", PIECE_MODEL, with_ids=True).first()
+    assert both.ids == row.ids and both.spans_sha256 == sha(np.array(row.begins + row.ends, "<i8").tobytes())
