@@ -38,6 +38,8 @@ from .words import LOWER, byte_class, slices, text_buffers
 
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 64, 4096, 40_000
 SEGMENT = 256
+#: Phrases that any text may take: the first, and one where two samples meet.
+FREE = 2
 UNDETERMINED = "und"
 #: Bytes per lockstep pass.
 _PASS = 1 << 21
@@ -155,13 +157,20 @@ class Identifier:
 
     def entropies(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bits per symbol, one row per text and one column per language."""
+        found, _, size = self.parse(data, bounds)
+        return found * [p.bits for p in self.parsers] / np.maximum(size, 1)[:, None]
+
+    def parse(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases, and of these the unseen symbols, one row per text and one
+        column per language; symbols of each text."""
         sym, at = symbols(data, bounds)
         size = np.diff(at)
         out = np.zeros((len(size), len(self.langs)))
+        unseen = np.zeros_like(out)
         per = -(-size // SEGMENT)  # segments of each text
         total = int(per.sum())
         if not total or not self.langs:
-            return out
+            return out, unseen, size
         owner = np.repeat(np.arange(len(size)), per)
         start = at[:-1][owner] + (np.arange(total) - np.repeat(np.cumsum(per) - per, per)) * SEGMENT
         length = np.minimum(at[1:][owner] - start, SEGMENT)
@@ -173,9 +182,30 @@ class Identifier:
             live = int(np.searchsorted(-length, -t, side="left"))
             columns[t, :live] = classes[start[:live] + t]
         for k, parser in enumerate(self.parsers):
-            found = np.bincount(owner, parser.phrases(columns[:int(length[0])]), len(size))
-            out[:, k] = found * parser.bits / np.maximum(size, 1)
-        return out
+            out[:, k] = np.bincount(owner, parser.phrases(columns[:int(length[0])]), len(size))
+            run = np.concatenate([[0], np.cumsum(parser.unseen[classes[:-1]])])
+            unseen[:, k] = run[at[1:]] - run[at[:-1]]
+        return out, unseen, size
+
+    def explained(self, column: pa.Array, max_bits: float) -> np.ndarray:
+        """Whether a text is in a learnt language: it has a letter, and its
+        phrases cost at most ``max_bits`` per symbol in one of the languages,
+        not counting the first ``FREE`` phrases (of known symbols).  A pointer
+        costs more than a few symbols may, whatever they are, so only phrases
+        beyond these are evidence."""
+        data, offsets = text_buffers(column)
+        keep = np.zeros(len(column), bool)
+        if not self.langs:
+            return keep
+        bits = np.array([p.bits for p in self.parsers])
+        for lo, hi in slices(offsets, _PASS):
+            found, unseen, size = self.parse(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            cost = (found - np.minimum(found - unseen, FREE)) * bits
+            keep[lo:hi] = (cost <= max_bits * size[:, None]).any(axis=1)
+        for i in np.flatnonzero(keep).tolist():
+            text = column[i].as_py()
+            keep[i] = bool(text) and any(map(str.isalpha, text))
+        return keep
 
     def predict(self, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
         """Language, score and the winner's bits per symbol of each text."""
@@ -228,16 +258,14 @@ def identify(df: DataFrame, id_col: str, text_col: str, samples: dict[str, bytes
 
 
 def keep_identified(df: DataFrame, text_col: str, samples: dict[str, bytes], max_bits: float) -> DataFrame:
-    """Rows of ``df``, all columns, whose text is in a learnt language: not
-    undetermined and at most ``max_bits`` per symbol.  One pass, no shuffle."""
+    """Rows of ``df``, all columns, whose text is in a learnt language (see
+    :meth:`Identifier.explained`).  One pass, no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = _identifier(shared.value)
         for batch in batches:
-            langs, _, bits = identifier.predict(batch.column(at))
-            keep = [x != UNDETERMINED and b <= max_bits for x, b in zip(langs, bits, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(identifier.explained(batch.column(at), max_bits)))
 
     return df.mapInArrow(run, df.schema)

@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tally.llm import decontaminate, sentencepiece_codec
+from tally.llm import decontaminate, language_id, sentencepiece_codec
 from tally.llm.queries import PIECE_MODEL, op1_sentencepiece
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -63,3 +64,14 @@ def test_digests_are_of_encoded_spans_and_decoded_ids(spark):
     row = sentencepiece_codec.encode(odd, "doc_id", "text", PIECE_MODEL).first()
     both = sentencepiece_codec.round_trip(odd, "doc_id", "text", PIECE_MODEL, with_ids=True).first()
     assert both.ids == row.ids and both.spans_sha256 == sha(np.array(row.begins + row.ends, "<i8").tobytes())
+
+
+# -- language ID -----------------------------------------------------------
+
+def test_short_clean_documents_stay(spark):
+    rng = random.Random(14)
+    sample = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(8000))[:39000]
+    rows = [(1, "A."), (2, "Be."), (3, "ab. c"), (4, "Жук"), (5, "жxqжzq" * 50), (6, "12"), (7, None), (8, sample[:3000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = language_id.keep_identified(df, "text", {"a": sample.encode()}, corpus_pipeline.MAX_BITS)
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 8}
