@@ -14,8 +14,9 @@ joined back per host, by broadcast if its measured size is below Spark's
 limit and otherwise by a join whose skewed hosts Spark splits.  DataFrame functions only.
 
 Defined results: lines compare without surrounding blanks; blank lines are
-neither counted nor dropped; rows count as pages each, also repeated ones; a
-null host is no site, so its pages stay unchanged; a null text stays null.
+neither counted nor dropped; rows count as pages each, also repeated ones, or
+with ``different`` every different text of a host once, so that copies of one
+text do not make its lines boilerplate; a null host is no site, so its pages stay unchanged; a null text stays null.
 """
 
 from __future__ import annotations
@@ -41,12 +42,17 @@ def _not_blank(line: Column) -> Column:
 
 
 def boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: float,
-                min_pages: int = 3) -> DataFrame:
+                min_pages: int = 3, different: bool = False) -> DataFrame:
     """Per host that has any: ``_host`` and ``_lines``, the digests of its
-    boilerplate lines."""
+    boilerplate lines.  With ``different``, equal texts of a host are one
+    page; their digests are two 64-bit numbers."""
     page = df.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text")).where("_host is not null")
     digests = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), _not_blank), _digest))
-    seen = (page.select("_host", F.explode(digests).alias("_line"))
+    page = page.select("_host", digests.alias("_lines"), F.xxhash64("_text").alias("_p"),
+                       F.xxhash64(F.lit("page"), "_text").alias("_q"))
+    if different:
+        page = page.groupBy("_host", "_p", "_q").agg(F.first("_lines").alias("_lines"))
+    seen = (page.select("_host", F.explode("_lines").alias("_line"))
             .groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages))
     total = page.groupBy("_host").agg(F.count("*").alias("_pages"))
     return (seen.join(total, "_host").where(F.col("_n") > F.lit(max_ratio) * F.col("_pages"))
@@ -54,7 +60,7 @@ def boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: float,
 
 
 def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: float,
-                     min_pages: int = 3) -> DataFrame:
+                     min_pages: int = 3, different: bool = False) -> DataFrame:
     """``df`` with its boilerplate lines removed from ``text_col``, plus
     ``n_lines`` (of the input text) and ``n_dropped``.  All columns stay; two
     columns of those names already there are replaced."""
@@ -62,7 +68,7 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: flo
         raise ValueError("the ratio lies between 0 and 1")
     # Frozen, its size is known before the join is planned: a small table is
     # broadcast and no text is shuffled.
-    known = cut_lineage(boilerplate(df, host_col, text_col, max_ratio, min_pages))
+    known = cut_lineage(boilerplate(df, host_col, text_col, max_ratio, min_pages, different))
     rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     packed = df.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"),
                        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"))

@@ -75,3 +75,13 @@ def test_short_clean_documents_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = language_id.keep_identified(df, "text", {"a": sample.encode()}, corpus_pipeline.MAX_BITS)
     assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 8}
+
+
+# -- line dedup ------------------------------------------------------------
+
+def test_source_a_third_of_which_is_one_document(spark):
+    one = "first line of it\nsecond line\nthird line"
+    rows = [(i, one if i % 3 == 0 else f"menu\ntext {i}", "en", "s", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_site_lines(spark, df, SF_SMALL).collect()}
+    assert out == {i: one if i % 3 == 0 else f"text {i}" for i in range(30)}
