@@ -12,9 +12,10 @@ ASCII non-letters as one blank.  Phrases end at segment borders
 batch are parsed in lockstep through dense transition tables: a text of any
 length costs the same per byte, and nothing is shuffled.
 
-The sample per language is at most ``SAMPLE_TEXTS`` texts of at most
-``SAMPLE_TEXT_BYTES`` bytes, taken in hash order, and of these whole texts up
-to ``SAMPLE_BYTES``; only this bounded sample reaches the driver.
+The sample per language is at most ``SAMPLE_TEXTS`` different beginnings of
+texts, of ``SAMPLE_TEXT_BYTES`` bytes at most (shorter texts whole, a
+character cut in two left out), taken in hash order, and of these up to
+``SAMPLE_BYTES``; only this bounded sample reaches the driver.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 with nothing to learn from everything is ``und``; equal estimates go to the
@@ -56,15 +57,18 @@ def fold(id_col: str) -> Column:
 def sample(df: DataFrame, id_col: str, lang_col: str, text_col: str) -> dict[str, bytes]:
     """Bounded learning sample: language to joined texts."""
     rows = (df.where((fold(id_col) != 0) & F.col(lang_col).isNotNull())
-            .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-            .where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
-            .withColumn("h", F.xxhash64("text")))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    few = rows.withColumn("r", turn).where(F.col("r") <= SAMPLE_TEXTS).orderBy("lang", "r").collect()
+            .select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+            .select("lang", F.substring("text", 1, SAMPLE_TEXT_BYTES).alias("text"))
+            .where(F.octet_length("text") > 0).withColumn("h", F.xxhash64("text")))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = rows.select("lang", "h").distinct().withColumn("r", turn).where(F.col("r") <= SAMPLE_TEXTS)
+    # copies of what was picked are combined before they move
+    picked = (rows.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "r")
+              .agg(F.min("text").alias("text")).orderBy("lang", "r").collect())
     out: dict[str, bytes] = {}
-    for row in few:
+    for row in picked:
         have = out.get(row["lang"], b"")
-        new = row["text"].encode("utf-8")
+        new = bytes(row["text"]).decode("utf-8", "ignore").encode("utf-8")
         if len(have) + len(new) < SAMPLE_BYTES:
             out[row["lang"]] = have + b"\n" + new
     return out

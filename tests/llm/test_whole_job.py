@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -77,6 +78,19 @@ def test_short_clean_documents_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 8}
 
 
+def test_sample_holds_long_texts_and_different_ones(spark):
+    rows = [(i, "long", f"é{i} " * 2000) for i in range(9)]
+    rows += [(i, "copied", "the same text " * 9) for i in range(500)] + [(i, "copied", f"other {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language_id.sample(df, "doc_id", "lang", "text")
+    held_out = {i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {x for x in got["copied"].decode().split("\n") if x} == {
+        "the same text " * 9, *(f"other {i}" for i in range(30) if i not in held_out)}
+    long = [x for x in got["long"].decode().split("\n") if x]
+    assert len(long) == len({i for i in range(9)} - held_out)
+    assert all(4090 < len(x.encode()) <= language_id.SAMPLE_TEXT_BYTES for x in long)
+
+
 # -- line dedup ------------------------------------------------------------
 
 def test_source_a_third_of_which_is_one_document(spark):
