@@ -83,8 +83,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[lo:hi]), pa.array(n.astype(np.int64)), pa.array(signed(mix(prints[0]))),
                 pa.array(signed(mix(prints[1]))),
-                pa.array([_kept(found, i) for i in range(hi - lo)]),
-            ], names=["_id", "n_words", "_p", "_q", "_whole"])
+                pa.array([_kept(found, i) for i in range(hi - lo)]), batch.column(2).slice(lo, hi - lo),
+            ], names=["_id", "n_words", "_p", "_q", "_whole", "_t"])
 
 
 def _anchors(found: Words, h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,14 +116,14 @@ def remove_repeated(df: DataFrame, id_col: str, text_col: str, width: int = 20,
     if not 1 <= gram <= width:
         raise ValueError("an anchor is no longer than a window")
     docs = numbered(df, id_col, text_col)
-    prints = cut_lineage(docs.mapInArrow(
-        _fingerprints, "_id long, n_words long, _p long, _q long, _whole string"))
+    prints = cut_lineage(docs.select("_id", "_text", F.xxhash64("_text").alias("_t")).mapInArrow(
+        _fingerprints, "_id long, n_words long, _p long, _q long, _whole string, _t long"))
     # One document per word sequence goes on: the first.  Counting words on
     # the way gives the sketch its width.
     first = prints.groupBy("_p", "_q", "n_words").agg(F.min("_id").alias("_first"))
     judged = prints.join(first, ["_p", "_q", "n_words"])
     total = prints.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    copies = judged.where("_id <> _first").select("_id", "_p", "_q")
+    copies = judged.where("_id <> _first").select("_id", "_t").distinct()
     cells = 1 << max(20, int(total * CELLS_PER_WORD).bit_length())
 
     # -- first pass: partition sketches, merged by sums
@@ -137,7 +137,8 @@ def remove_repeated(df: DataFrame, id_col: str, text_col: str, width: int = 20,
             yield pa.RecordBatch.from_arrays([pa.array(signed(cell)), pa.array(n.astype(np.int64))],
                                              names=["_cell", "_n"])
 
-    unique = docs.join(copies.select("_id").distinct(), "_id", "left_anti")
+    # Of a repeated id only the texts that are copies stay out.
+    unique = docs.withColumn("_t", F.xxhash64("_text")).join(copies, ["_id", "_t"], "left_anti").drop("_t")
     # Frozen, so that the join below is a plain one whose skewed cells (a very
     # common passage) Spark can split.
     sketch = cut_lineage(unique.mapInArrow(count, "_cell long, _n long").groupBy("_cell")
@@ -209,6 +210,7 @@ def remove_repeated(df: DataFrame, id_col: str, text_col: str, width: int = 20,
                     n = int(found.first[i + 1] - found.first[i])
                     edge = np.zeros(n + 1, np.int64)
                     begin = np.unique(np.asarray(starts[lo + i].as_py(), np.int64))
+                    begin = begin[begin + width <= n]  # a longer text of the same id has others
                     np.add.at(edge, begin, 1)
                     np.add.at(edge, begin + width, -1)
                     keep = np.cumsum(edge[:n]) == 0

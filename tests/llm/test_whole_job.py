@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tally.llm import decontaminate, language_id, sentencepiece_codec
+from tally.llm import decontaminate, language_id, sentencepiece_codec, substring_dedup
 from tally.llm.queries import PIECE_MODEL, op1_sentencepiece
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -99,3 +99,16 @@ def test_source_a_third_of_which_is_one_document(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r.text for r in corpus_pipeline.drop_site_lines(spark, df, SF_SMALL).collect()}
     assert out == {i: one if i % 3 == 0 else f"text {i}" for i in range(30)}
+
+
+# -- substring dedup -------------------------------------------------------
+
+def test_repeated_id_whose_other_text_is_a_copy(spark):
+    rng = random.Random(15)
+    a, b = prose(rng, 40), prose(rng, 30)
+    # id 2 is a copy of 1 and a text of its own, which repeats 1 at its end and which 3 repeats
+    rows = [(1, a), (2, a), (2, b + a[:25]), (3, b)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words): r.n_removed
+           for r in substring_dedup.remove_repeated(df, "doc_id", "text", 20).collect()}
+    assert got == {(1, 40): 0, (2, 40): 40, (2, 55): 25, (3, 30): 30}
