@@ -82,4 +82,4 @@ def test_entry_points(spark):
     assert [f.name for f in df.schema.fields] == ["State", "Total_Applications", "Commissioned", "Conversion_Rate_Pct"]
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert "ols_standardised" in q and "ols_standardised" not in o
+    assert "ols_standardised" in q and "ols_standardised" in o
