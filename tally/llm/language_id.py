@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import lean
 from .words import LOWER, byte_class, slices, text_buffers
 
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 64, 4096, 40_000
@@ -271,5 +272,6 @@ def keep_identified(df: DataFrame, text_col: str, samples: dict[str, bytes], max
         identifier = _identifier(shared.value)
         for batch in batches:
             yield batch.filter(pa.array(identifier.explained(batch.column(at), max_bits)))
+        del identifier
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run, _identifier.cache_clear), df.schema)

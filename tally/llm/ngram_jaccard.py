@@ -26,10 +26,13 @@ copies) is the hub, and only the links to it are counted first.  Classes
 connected by them need no further comparison, so a large group of near copies
 costs one pair per member and not all pairs.  What is left are documents that
 share a piece across different components.  Groups of up to ``FEW`` pair them
-directly; larger ones are compared in blocks, every two blocks in a task of
-their own, by parity sketches of two bits per n-gram whose difference never
-exceeds that of the sets, and only pairs that the sketches cannot rule out
-are counted.  No link between different components is lost.
+directly; in larger ones the members outside the piece's main component (the
+one with the most of its members) are compared with all members of other
+components, in blocks, every two blocks in a task of their own, by parity
+sketches of two bits per n-gram whose difference never exceeds that of the
+sets, and only pairs that the sketches cannot rule out are counted.  A few
+strays among many joined copies so cost strays times members.  No link between
+different components is lost.
 
 Defined results: a text without words, or null, has an empty set, links with
 nothing and is its own component; rows that repeat an id are in one component
@@ -52,11 +55,14 @@ from ..session import cut_lineage
 from .components import components
 from .documents import given, number, numbered
 from .groups import whole_groups
+from .memory import lean, pieces as parts_of
 from .words import LOWER, NON_SPACE, Words, mix, ngrams, signed, slices, text_buffers
 
 _U = np.uint64
 #: Documents of a piece that are paired directly, and rows of a block beyond.
 FEW, BLOCK = 8, 512
+#: Texts whose pieces or sets a task holds at a time.
+TEXTS = 512
 #: Fragments of the n-gram order in which partial overlaps are counted.
 FRAGMENTS = 4
 #: Up to this many differences all sets with that many n-grams left out are
@@ -138,6 +144,15 @@ def _pieces(grams: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _third(piece: np.ndarray) -> np.ndarray:
+    """Which rows are the third or a later one of their piece."""
+    order = np.argsort(piece, kind="stable")
+    sorted_ = piece[order]
+    out = np.zeros(len(piece), bool)
+    out[order[2:]] = sorted_[2:] == sorted_[:-2]
+    return out
+
+
 @lru_cache(maxsize=4096)
 def _borders(fragments: int) -> np.ndarray:
     return np.array([i * 2**64 // fragments for i in range(1, fragments)], np.uint64)
@@ -152,29 +167,31 @@ def _sketch(grams: np.ndarray) -> bytes:
 
 
 def _apart_pairs(table: pa.Table, ranges: list[tuple[int, int]], p: int, q: int) -> pa.RecordBatch:
-    """Pairs of each group, in different components, that the sketches allow."""
-    i, j, own, class_, size, label = (table.column(c).to_numpy() for c in range(1, 7))
+    """Pairs of each group that the sketches allow: members outside the
+    piece's main component (side 0) with members of other components (1: main,
+    2: other, where the smaller of two asks)."""
+    side, class_, size, label = (table.column(c).to_numpy() for c in range(3, 7))
     sketches = table.column(7)
     out = []
     for lo, hi in ranges:
-        if hi - lo < 2:
+        asking = int(np.searchsorted(side[lo:hi], 1))
+        if not 0 < asking < hi - lo:
             continue
         raw = [np.frombuffer(x.as_py(), np.uint64) for x in sketches.slice(lo, hi - lo)]
         wide = min(map(len, raw))
         part = np.stack([np.bitwise_xor.reduce(x.reshape(-1, wide), axis=0) for x in raw])
-        n, who, name, side = size[lo:hi].astype(np.int64), label[lo:hi], class_[lo:hi], own[lo:hi]
+        n, who, name = size[lo:hi].astype(np.int64), label[lo:hi], class_[lo:hi]
+        to, once = slice(asking, None), side[lo + asking:hi] == 1
         step = max(1, (1 << 19) // ((hi - lo) * wide))  # a few megabytes at a time
-        for a in range(0, hi - lo, step):
-            rows = slice(a, a + step)
-            both = n[rows, None] + n[None, :]
-            apart = np.bitwise_count(part[rows, None, :] ^ part[None, :, :]).sum(axis=2, dtype=np.int64)
-            fit = (apart * (p + q) <= both * (q - p)) & (who[rows, None] != who[None, :])
-            fit &= np.minimum(n[rows, None], n[None, :]) * q >= np.maximum(n[rows, None], n[None, :]) * p
-            fit &= name[rows, None] < name[None, :]
-            if i[lo] != j[lo]:
-                fit &= side[rows, None] != side[None, :]
+        for a in range(0, asking, step):
+            rows = slice(a, min(a + step, asking))
+            both = n[rows, None] + n[None, to]
+            apart = np.bitwise_count(part[rows, None, :] ^ part[None, to, :]).sum(axis=2, dtype=np.int64)
+            fit = (apart * (p + q) <= both * (q - p)) & (who[rows, None] != who[None, to])
+            fit &= np.minimum(n[rows, None], n[None, to]) * q >= np.maximum(n[rows, None], n[None, to]) * p
+            fit &= once[None, :] | (name[rows, None] < name[None, to])
             x, y = np.nonzero(fit)
-            out.append((name[rows][x], n[rows][x], name[y], n[y]))
+            out.append((name[rows][x], n[rows][x], name[to][y], n[to][y]))
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
     return pa.RecordBatch.from_arrays([
         pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]),
@@ -221,12 +238,12 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())],
                 names=["_id", "n_shingles", "_class"])
 
-    members = cut_lineage(docs.mapInArrow(classify, "_id long, n_shingles long, _class long"))
+    members = cut_lineage(docs.mapInArrow(lean(classify), "_id long, n_shingles long, _class long"))
     classes = (members.where("n_shingles > 0").groupBy("_class", "n_shingles").agg(F.min("_id").alias("_rep")))
 
     def send(batches):
         levels, sent = _levels(p, q), set()
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts_of(whole, TEXTS)):
             parts, prints, sizes = [], [], []
             for grams in _sets(batch.column(1), n):
                 if len(grams) and (print_ := _class(grams)) not in sent:
@@ -235,16 +252,20 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
                     prints.append(print_)
                     sizes.append(len(grams))
             each = [len(x) for x in parts]
+            piece = signed(np.concatenate(parts or [np.zeros(0, np.uint64)]))
+            class_ = np.repeat(np.array(prints, np.int64), each)
             yield pa.RecordBatch.from_arrays([
-                pa.array(signed(np.concatenate(parts or [np.zeros(0, np.uint64)]))),
-                pa.array(np.repeat(np.array(prints, np.int64), each)),
-                pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["_piece", "_class", "_n"])
-
-    group = Window.partitionBy("_piece")
-    pieces = docs.mapInArrow(send, "_piece long, _class long, _n int")
+                pa.array(piece), pa.array(class_), pa.array(np.repeat(np.array(sizes, np.int32), each)),
+                pa.array(np.where(_third(piece), class_, 0))], names=["_piece", "_class", "_n", "_aside"])
+
+    # Two sets of a group of texts with the same piece prove it shared; all
+    # others stand aside under numbers of their own, so a piece that a third
+    # of all documents send does not meet in one task.
+    group = Window.partitionBy("_piece", "_aside")
+    pieces = docs.mapInArrow(lean(send), "_piece long, _class long, _n int, _aside long")
     shared = cut_lineage(pieces.withColumn("_least", F.min("_class").over(group))
-                         .withColumn("_last", F.max("_class").over(group)).where("_least <> _last")
-                         .select("_piece", "_class", "_n").distinct())
+                         .withColumn("_last", F.max("_class").over(group))
+                         .where("_least <> _last or _aside <> 0").select("_piece", "_class", "_n").distinct())
     # How much a document shares: the other members of all its pieces.
     members_of = cut_lineage(shared.groupBy("_piece").agg(F.count("*").alias("_m")))
     sized = shared.join(members_of, "_piece")
@@ -259,7 +280,7 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
 
     def cut(batches):
         done = set()
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts_of(whole, TEXTS)):
             prints, parts, pieces_, sketches = [], [], [], []
             for print_, grams in zip(batch.column(2).to_pylist(), _sets(batch.column(1), n), strict=True):
                 if not len(grams) or _class(grams) != print_ or print_ in done:
@@ -279,7 +300,7 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
                                              names=["_class", "_part", "_grams", "_sketch"])
 
     wanted = docs.join(involved, "_id").select("_id", "_text", "_class")
-    sets = cut_lineage(wanted.mapInArrow(cut, "_class long, _part int, _grams array<long>, _sketch binary"))
+    sets = cut_lineage(wanted.mapInArrow(lean(cut), "_class long, _part int, _grams array<long>, _sketch binary"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, na, b, nb) that reach the similarity."""
@@ -316,31 +337,46 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     labelled = scored.join(joined.withColumnRenamed("node", "_class"), "_class", "left").select(
         "_piece", "_class", "_n", "_m", F.coalesce("component", "_class").alias("_label"))
     labelled = cut_lineage(labelled)
-    open_ = cut_lineage(labelled.groupBy("_piece").agg(F.min("_label").alias("_min"), F.max("_label").alias("_max"))
-                        .where("_min <> _max").select("_piece"))
-    apart = labelled.join(open_, "_piece")
+    # Pieces with the same members are one; of the components in a piece the
+    # one with the most members is its main one.
+    alike = labelled.groupBy("_piece").agg(
+        F.min("_label").alias("_min"), F.max("_label").alias("_max"),
+        F.bit_xor(F.xxhash64("_class")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), "_class")).alias("_t"),
+        F.count("*").alias("_k")).where("_min <> _max").groupBy("_s", "_t", "_k").agg(F.min("_piece").alias("_piece"))
+    open_ = cut_lineage(alike.select("_piece"))
+    apart = cut_lineage(labelled.join(open_, "_piece"))
+    main = (apart.groupBy("_piece", "_label").agg(F.count("*").alias("_c"))
+            .groupBy("_piece").agg(F.max(F.struct("_c", "_label")).alias("_main"))
+            .select("_piece", F.col("_main._label").alias("_home"), F.col("_main._c").alias("_at_home")))
+    apart = apart.join(main, "_piece")
     one = apart.where(F.col("_m") <= FEW).select(
         "_piece", F.col("_class").alias("a"), F.col("_n").alias("na"), F.col("_label").alias("_la"))
     two = one.select("_piece", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("_la").alias("_lb"))
     meet = (F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & sizes_fit(F.col("na"), F.col("nb"))
     few = one.join(two, "_piece").where(meet).select("a", "na", "b", "nb")
 
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    many = (apart.where(F.col("_m") > FEW).withColumn("_blocks", blocks)
-            .withColumn("_own", F.pmod(F.xxhash64("_class"), F.col("_blocks")).cast("int"))
-            .select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-            .select("_piece", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-                    "_own", "_class", "_n", "_label"))
+    # Larger groups: members outside the main component against all others.
+    many = (apart.where(F.col("_m") > FEW)
+            .withColumn("_out", F.col("_label") != F.col("_home"))
+            .withColumn("_i", F.greatest(F.lit(1), F.ceil((F.col("_m") - F.col("_at_home")) / BLOCK)).cast("int"))
+            .withColumn("_j", F.ceil(F.col("_m") / BLOCK).cast("int")))
+    here = lambda c: F.pmod(F.xxhash64("_class"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asking = many.where("_out").select("_piece", here("_i").alias("_i"), every("_j").alias("_j"), F.lit(0).alias("_side"),
+                                       "_class", "_n", "_label")
+    asked = many.select("_piece", every("_i").alias("_i"), here("_j").alias("_j"),
+                        F.when(F.col("_out"), 2).otherwise(1).alias("_side"), "_class", "_n", "_label")
     sketches = sets.where("_part = 0").select("_class", "_sketch")
     cells = ["_piece", "_i", "_j"]
-    work = (many.join(sketches, "_class").select(*cells, "_own", "_class", "_n", "_label", "_sketch")
-            .repartition(*cells).sortWithinPartitions(*cells))
+    work = (asking.unionByName(asked).join(sketches, "_class")
+            .select(*cells, "_side", "_class", "_n", "_label", "_sketch")
+            .repartition(*cells).sortWithinPartitions(*cells, "_side"))
 
     def compare(batches):
         for table, ranges in whole_groups(batches, 3):
             yield _apart_pairs(table, ranges, p, q)
 
-    met = work.mapInArrow(compare, "a long, na int, b long, nb int")
+    met = work.mapInArrow(lean(compare), "a long, na int, b long, nb int")
     rest = ordered(few.unionByName(met)).join(first.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(linked(rest))
 
