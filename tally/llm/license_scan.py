@@ -7,6 +7,14 @@ the rest of the line is a licence expression, whose and/or/with grammar a
 shunting-yard parser turns into postfix order and evaluates.  Rows are
 independent, so the scan is one Arrow pass without a shuffle.
 
+A tag counts only with its separator (a colon or equals sign behind it): "this
+license expression is broken" is prose.  An operand gives a label only if it
+is a known identifier (``known_identifier``); others, and whatever stands in
+an expression with one, are reported as kind ``unknown`` with the identifier
+in the place's span and an empty label.  Behind the tag "license expression",
+which prose may use with a colon as well, an expression without any known
+identifier is no find at all.
+
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in
 lower case.  Defined results: a null text scans like the empty one (no words,
 no finds); a broken expression is reported as such and gives no label.
@@ -79,6 +87,24 @@ def _automaton():
     return found
 
 
+#: Names (families) of licence identifiers; versions and endings follow by rule.
+FAMILIES = frozenset(
+    "0bsd afl agpl apache apsl artistic bsd bsl cc0 cddl cecill ecl epl eupl gfdl gpl isc lgpl lppl mit mit-0 mpl "
+    "ms-pl ms-rl ncsa ofl openssl osl php postgresql psf python ruby unlicense upl vim w3c wtfpl x11 zlib".split())
+_CREATIVE = re.compile(r"cc-by(-nc)?(-sa|-nd)?")
+_VERSION = re.compile(r"-v?\d+(\.\d+)*")
+
+
+def known_identifier(identifier: str) -> bool:
+    """Whether a word is a licence identifier: a family's name, a version that
+    follows it, and an ending."""
+    name = re.sub(r"(-only|-or-later|\+)$", "", identifier.lower())
+    if re.fullmatch(r"bsd-\d-clause(-[a-z-]+)?", name):
+        return True
+    name = _VERSION.sub("", name, count=1) if not name.startswith(("0", "mit-0")) else name
+    return name in FAMILIES or _CREATIVE.fullmatch(name) is not None
+
+
 # -- licence expressions ---------------------------------------------------
 
 _TOKEN = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
@@ -153,6 +179,18 @@ def evaluate(order: list[str]) -> tuple[frozenset[str], bool]:
     return stack.pop()
 
 
+def licences(order: list[str]) -> list[str]:
+    """The operands that name licences (not the exceptions behind "with")."""
+    stack: list[list[str]] = []
+    for token in order:
+        if token in _RANK:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left if token == "with" else left + right)
+        else:
+            stack.append([token])
+    return stack.pop()
+
+
 # -- scan ------------------------------------------------------------------
 
 def scan_text(raw: bytes) -> tuple[int, list[tuple]]:
@@ -172,12 +210,20 @@ def scan_text(raw: bytes) -> tuple[int, list[tuple]]:
         if kind != "tag":
             finds.append((label, kind, first, n, begin, stop))
             continue
-        rest = raw[stop:].split(b"\n", 1)[0]
-        text = re.sub(r"^[ \t]*[:=]?[ \t]*", "", rest.decode("utf-8"))
-        order = postfix(text)
+        rest = raw[stop:].split(b"\n", 1)[0].decode("utf-8")
+        separator = re.match(r"[ \t]*[:=][ \t]*", rest)
+        if separator is None:
+            continue  # prose
+        order = postfix(rest[separator.end():])
+        terms = [x for x in order or () if x not in _RANK]
+        if n < 3 and not any(map(known_identifier, terms)):
+            continue  # "license expression: see below"
         if order is None:
             finds.append(("", "broken", first, n, begin, stop))
             continue
+        if not all(map(known_identifier, licences(order))):
+            finds.append(("", "unknown", first, n, begin, stop))
+            continue
         labels, free = evaluate(order)
         kind = "permissive" if free else "expression"
         finds += [(x, kind, first, n, begin, stop) for x in sorted(labels)]
@@ -185,13 +231,13 @@ def scan_text(raw: bytes) -> tuple[int, list[tuple]]:
 
 
 #: How sure one find of each kind makes the scan.
-_TRUST = {"base": 0.9, "notice": 0.8, "expression": 0.97, "permissive": 0.97, "broken": 0.3}
+_TRUST = {"base": 0.9, "notice": 0.8, "expression": 0.97, "permissive": 0.97, "broken": 0.3, "unknown": 0.3}
 
 
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: the id, ``n_words``, ``finds`` (label, kind,
     first word, words, byte span; kinds: base, notice, expression, permissive
-    expression, broken expression), ``labels`` and ``score`` in 0..1."""
+    expression, broken expression, unknown identifiers), ``labels`` and ``score`` in 0..1."""
     rows = df.select(F.col(id_col), F.col(text_col).alias("_text"))
     schema = T.StructType([rows.schema[0], T.StructField("n_words", T.LongType(), False),
                            T.StructField("finds", FINDS, False),
