@@ -10,6 +10,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,17 +76,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder and read it back (never ``localCheckpoint``).  Unlike an RDD
     checkpoint, which computes the plan once to count and again to write,
     this computes it once.  The result survives executor loss, and columns
-    derived from partition ids are frozen with the data.  The folder goes
+    derived from partition ids are frozen with the data; the shuffle files
+    that led to it are removed at once.  The folder goes
     when the application ends, or earlier through :func:`drop_frozen`."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = root.rstrip("/") + "/tables/" + uuid.uuid4().hex
-    df.write.mode("errorifexists").parquet(path)
+    with _shuffles_removed(spark):
+        df.write.mode("errorifexists").parquet(path)
     fs, place = _filesystem(spark, path)
     fs.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside drop their shuffle files when they end (else these
+    stay until the driver collects garbage).  The session's own setting comes
+    back afterwards; a Spark without it goes on as usual."""
+    try:
+        before = spark.conf.get(_CLEANUP)
+    except Exception:  # noqa: BLE001 - unknown setting
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def _filesystem(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
