@@ -48,6 +48,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +199,23 @@ def _apart_pairs(table: pa.Table, ranges: list[tuple[int, int]], p: int, q: int)
         pa.array(columns[3].astype(np.int32))], names=["a", "na", "b", "nb"])
 
 
+def _plausible(batch: pa.RecordBatch, p: int, q: int) -> np.ndarray:
+    """Which pairs (a, na, b, nb and both sketches) the sketches allow."""
+    na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in (1, 3))
+    wide = np.stack([pc.binary_length(batch.column(c)).to_numpy() for c in (4, 5)])
+    out = np.zeros(batch.num_rows, bool)
+    for x, y in np.unique(wide, axis=1).T.tolist():
+        at = np.flatnonzero((wide[0] == x) & (wide[1] == y))
+        least = min(x, y) // 8
+        sides = []
+        for c, size in ((4, x), (5, y)):
+            flat = np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), np.uint64)
+            sides.append(np.bitwise_xor.reduce(flat.reshape(len(at), size // 8 // least, least), axis=1))
+        apart = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+        out[at] = apart * (p + q) <= (na[at] + nb[at]) * (q - p)
+    return out
+
+
 def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5,
                        similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """Columns: the id, ``n_shingles`` and ``component_id`` (the smallest id
@@ -322,6 +340,19 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
         return pairs.select(either("a", "b").alias("a"), either("na", "nb").alias("na"),
                             either("b", "a").alias("b"), either("nb", "na").alias("nb")).distinct()
 
+    sketches = cut_lineage(sets.where("_part = 0").select("_class", "_sketch"))
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs that the sketches allow: sets move for few others."""
+        side = lambda c, name: sketches.select(F.col("_class").alias(c), F.col("_sketch").alias(name))
+        both = pairs.join(side("a", "_sa"), "a").join(side("b", "_sb"), "b").select("a", "na", "b", "nb", "_sa", "_sb")
+
+        def allow(batches):
+            for batch in (x for whole in batches for x in parts_of(whole, TEXTS)):
+                yield batch.filter(pa.array(_plausible(batch, p, q))).select(["a", "na", "b", "nb"])
+
+        return cut_lineage(both.mapInArrow(lean(allow), "a long, na int, b long, nb int"))
+
     # Of its pieces' hubs, each document is compared with the leading one.
     lead = F.max(F.struct("_lead", "a", "na")).alias("_hub")
     first = cut_lineage(ordered(
@@ -330,7 +361,7 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
         .groupBy("_class", "_n").agg(lead)
         .select(F.col("_hub.a").alias("a"), F.col("_hub.na").alias("na"), F.col("_class").alias("b"),
                 F.col("_n").alias("nb"))))
-    links = cut_lineage(linked(first))
+    links = cut_lineage(linked(plausible(first)))
     joined = cut_lineage(components(links))
 
     # Second round: documents of one piece that are still apart.
@@ -366,7 +397,6 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
                                        "_class", "_n", "_label")
     asked = many.select("_piece", every("_i").alias("_i"), here("_j").alias("_j"),
                         F.when(F.col("_out"), 2).otherwise(1).alias("_side"), "_class", "_n", "_label")
-    sketches = sets.where("_part = 0").select("_class", "_sketch")
     cells = ["_piece", "_i", "_j"]
     work = (asking.unionByName(asked).join(sketches, "_class")
             .select(*cells, "_side", "_class", "_n", "_label", "_sketch")
@@ -377,8 +407,9 @@ def _components(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
             yield _apart_pairs(table, ranges, p, q)
 
     met = work.mapInArrow(lean(compare), "a long, na int, b long, nb int")
-    rest = ordered(few.unionByName(met)).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(linked(rest))
+    untried = lambda pairs: pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = plausible(untried(ordered(few))).unionByName(untried(cut_lineage(ordered(met)))).distinct()
+    links = links.unionByName(cut_lineage(linked(cut_lineage(rest))))
 
     rep = classes.select("_class", "_rep")
     by_id = (links.join(rep.withColumnRenamed("_class", "a").withColumnRenamed("_rep", "_x"), "a")
