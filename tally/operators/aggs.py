@@ -200,11 +200,11 @@ def share_vs_benchmark(df: DataFrame, c: str = "Beneficiary_Category", subset: S
 def concentration_table(df: DataFrame, key: str = "State", where: Column | None = None,
                         count_name: str = "Installations") -> DataFrame:
     """Count per key (desc), share % (half-even 2), running sum of the
-    ROUNDED shares (half-even 2).  Windows run over one row per key."""
+    ROUNDED shares (half-even 2), whose running sum is distributed."""
     src = df.where(where) if where is not None else df
     counts = src.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(count_name))
-    total = Window.partitionBy()
-    out = counts.withColumn("Share_Pct", pandas_round(F.col(count_name) / F.sum(count_name).over(total) * 100.0, 2))
+    total = counts.select(F.sum(count_name)).scalar()
+    out = counts.withColumn("Share_Pct", pandas_round(F.col(count_name) / total * 100.0, 2))
     order = [(count_name, False), (key, True)]
     out = cumulative_share(out, order, "Share_Pct", "Cumulative_Pct")
     return out.withColumn("Cumulative_Pct", pandas_round("Cumulative_Pct", 2)).orderBy(

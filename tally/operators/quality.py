@@ -173,8 +173,31 @@ def nondetect_token(c, tokens: Sequence[str] = PASS_TOKENS) -> Column:
     return contains_any(F.lower(py_strip(col(c).cast("string"))), tokens)
 
 
-def _fmt_max(num: Column, r: Rule) -> Column:
-    return F.format_string("%s = %s (max allowed: %s)", F.lit(r.param), py_fixed4(num), F.lit(r.max_text or str(r.max)))
+def _parsed(r: Rule, raw: Column, tokens: Sequence[str]) -> dict[str, Column]:
+    """What a rule reads in its value, once: the number and the token test,
+    or the stripped text of a qualitative rule."""
+    if r.qualitative:
+        return {"text": py_strip(raw.cast("string"))}
+    return {"number": py_float(raw), "clear": raw.isNull() | nondetect_token(raw, tokens)}
+
+
+def _violated(r: Rule, raw: Column, part: Mapping[str, Column]) -> Column:
+    """Whether the rule fails (never null); a NULL value passes."""
+    if r.qualitative:
+        return F.coalesce(raw.isNotNull() & F.lower(part["text"]).isin(list(r.fail_values)), F.lit(False))
+    number = part["number"]
+    over = number.isNull() | ((number > F.lit(float(r.max))) & ~F.isnan(number))
+    return ~part["clear"] & over
+
+
+def _message(r: Rule, raw: Column, part: Mapping[str, Column]) -> Column:
+    """What is reported about a violation."""
+    if r.qualitative:
+        return F.format_string("%s = %s (expected Negative)", F.lit(r.param), part["text"])
+    return F.when(part["number"].isNull(), F.format_string("%s = '%s' (unreadable value)", F.lit(r.param),
+                                                           py_strip(raw.cast("string")))).otherwise(
+        F.format_string("%s = %s (max allowed: %s)", F.lit(r.param), py_fixed4(part["number"]),
+                        F.lit(r.max_text or str(r.max))))
 
 
 def rule_failure(df_columns: Sequence[str], r: Rule, tokens: Sequence[str] = PASS_TOKENS) -> Column | None:
@@ -183,29 +206,33 @@ def rule_failure(df_columns: Sequence[str], r: Rule, tokens: Sequence[str] = PAS
     if r.param not in df_columns:
         return None
     raw = F.col(r.param)
-    val_str = py_strip(raw.cast("string"))
-    if r.qualitative:
-        failed = F.lower(val_str).isin(list(r.fail_values))
-        return F.when(raw.isNotNull() & failed,
-                      F.format_string("%s = %s (expected Negative)", F.lit(r.param), val_str))
-    num = py_float(raw)
-    over = num > F.lit(float(r.max))
-    return (F.when(raw.isNull() | nondetect_token(raw, tokens), F.lit(None).cast("string"))
-             .when(num.isNull(), F.format_string("%s = '%s' (unreadable value)", F.lit(r.param), val_str))
-             .when(over & ~F.isnan(num), _fmt_max(num, r)))
+    part = _parsed(r, raw, tokens)
+    return F.when(_violated(r, raw, part), _message(r, raw, part))
 
 
 def rule_evaluate(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, tokens: Sequence[str] = PASS_TOKENS,
                   status: str = "Pass_Fail", reason: str = "Failure_Reason") -> DataFrame:
     """Add ``Pass_Fail`` (FAIL if any rule fails) and ``Failure_Reason``
-    (messages in rule order joined by ' | ').  One projection, no shuffle."""
-    msgs = [m for m in (rule_failure(df.columns, r, tokens) for r in rules) if m is not None]
+    (messages in rule order joined by ' | ').  No shuffle: one projection
+    reads every value once, one decides the rules, and the last forms the
+    messages - where nobody selects them, they are not formed."""
+    used = [r for r in rules if r.param in df.columns]
+    parts = [{k: f"_rule_{i}_{k}" for k in _parsed(r, F.col(r.param), tokens)} for i, r in enumerate(used)]
+    read = df.withColumns({names[k]: x for r, names in zip(used, parts, strict=True)
+                           for k, x in _parsed(r, F.col(r.param), tokens).items()})
+    held = [{k: F.col(n) for k, n in names.items()} for names in parts]
+    flags = [f"_rule_{i}_fails" for i in range(len(used))]
+    judged = read.withColumns({f: _violated(r, F.col(r.param), part)
+                               for f, r, part in zip(flags, used, held, strict=True)})
+    failed = F.lit(False)
+    for f in flags:
+        failed = failed | F.col(f)
     # concat_ws skips NULL messages and stays inside whole-stage codegen
     # (an array + filter lambda would force interpreted evaluation).
-    joined = F.concat_ws(" | ", *msgs) if msgs else F.lit("")
-    out = df.withColumn(reason, joined)
-    out = out.withColumn(status, F.when(F.col(reason) != "", F.lit("FAIL")).otherwise(F.lit("PASS")))
-    return out.select(*df.columns, status, reason)
+    messages = [F.when(F.col(f), _message(r, F.col(r.param), part)) for f, r, part in zip(flags, used, held, strict=True)]
+    joined = F.concat_ws(" | ", *messages) if messages else F.lit("")
+    return judged.select(*df.columns, F.when(failed, F.lit("FAIL")).otherwise(F.lit("PASS")).alias(status),
+                         joined.alias(reason))
 
 
 def status_summary(df: DataFrame, c: str = "Pass_Fail", label: str = "Result") -> DataFrame:

@@ -25,6 +25,14 @@ def _order(spec: Sequence[tuple[str | Column, bool]]) -> list[Column]:
     return out
 
 
+#: A column to sort by: its name (ascending, nulls first) or (name, ascending).
+OrderItem = str | tuple[str, bool]
+
+
+def order_columns(order: Sequence[OrderItem]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else _order([c])[0] for c in order]
+
+
 def sort_by(df: DataFrame, spec: Sequence[tuple[str | Column, bool]]) -> DataFrame:
     return df.orderBy(*_order(spec))
 
@@ -72,19 +80,27 @@ def lag_growth(grouped: DataFrame, order: str, c: str, prev: str, growth: str, d
     return out.withColumn(growth, sql_round(safe_ratio((F.col(c) - F.col(prev)) * 100.0, prev), digits))
 
 
+#: Type of exact running sums of shares.
+EXACT = "decimal(28,12)"
+
+
 def cumulative_share(grouped: DataFrame, order: Sequence[tuple[str | Column, bool]], share: str,
                      name: str) -> DataFrame:
-    w = Window.orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return grouped.withColumn(name, F.sum(share).over(w))
+    """Running sum of ``share`` in a unique order, without a window over all
+    rows.  It is formed in decimals (12 places), so that neither partitions
+    nor the order of additions show in it."""
+    exact = grouped.withColumn("_exact", F.col(share).cast(EXACT))
+    out = global_row_number(exact, order, "_place", running_sum="_exact", sum_name="_running")
+    return out.select(*[F.col(f"`{c}`") for c in grouped.columns if c != name], F.col("_running").cast("double").alias(name))
 
 
 def prefix_until(grouped: DataFrame, order: Sequence[tuple[str | Column, bool]], share: str,
                  target: float = 50.0) -> DataFrame:
     """Shortest prefix (in ``order``) whose running share reaches
     ``target``: keep rows whose running share BEFORE them is below it."""
-    w = Window.orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(share).over(w), F.lit(0.0))
-    return grouped.withColumn("_before", before).where(F.col("_before") < F.lit(target)).drop("_before")
+    exact = grouped.withColumn("_exact", F.coalesce(F.col(share).cast(EXACT), F.lit(0).cast(EXACT)))
+    out = global_row_number(exact, order, "_place", running_sum="_exact", sum_name="_running")
+    return out.where(F.col("_running") - F.col("_exact") < F.lit(target)).select(*grouped.columns)
 
 
 def within_group_share(grouped: DataFrame, part: Sequence[str], count_col: str, name: str) -> DataFrame:
@@ -99,9 +115,9 @@ def fixed_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(dim), key, "inner").orderBy("_ord").drop("_ord")
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number",
+def global_row_number(df: DataFrame, order: Sequence[OrderItem], name: str = "row_number",
                       running_sum: str | None = None, sum_name: str = "running_sum") -> DataFrame:
-    """1-based position of every row in the ascending order of ``order``
+    """1-based position of every row in the order of ``order``
     (ties in any order; name a unique key last where many rows tie, so that
     they spread over the partitions), optionally with the running sum of ``running_sum``
     in that order - without a single-partition window.
@@ -113,7 +129,8 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_numb
     inside the sorted partition.  The running sum inside a partition is a
     window partitioned by that partition, so no task holds more than one
     range partition."""
-    frozen = cut_lineage(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    by = order_columns(order)
+    frozen = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by)
                          .withColumn("_p", F.spark_partition_id())
                          .withColumn("_i", F.monotonically_increasing_id()))
     aggs = [F.count("*").alias("_c"), F.min("_i").alias("_i0")]

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.exprs import null_false, pandas_round, pct
 from ..operators import aggs as A
 from ..operators import features as fe
+from ..operators import ordered as od
 from ..operators import quality as q
 from ..operators import ranking as rk
 from ..operators import stats as st
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, remove_at_exit
 from ..sources import io
 from . import oracle as O
 from . import reports as R
@@ -52,14 +53,15 @@ def oracle_sql(name: str) -> str | None:
 # =========================================================== S1-S8 reports
 _ORACLE_REPORTS = {
     "s1_state_conversion": """
-SELECT State, count(*) AS Total_Applications,
-       CAST(sum(CASE WHEN Commission_Date IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS Commissioned,
-       round(100e0 * sum(CASE WHEN Commission_Date IS NOT NULL THEN 1 ELSE 0 END) / count(*), 2) AS Conversion_Rate_Pct
-FROM applications GROUP BY State HAVING count(*) >= 50""",
+WITH every AS (SELECT State, count(*) AS n FROM applications GROUP BY State),
+done AS (SELECT State, count(Commission_Date) AS k FROM applications WHERE Commission_Date IS NOT NULL GROUP BY State)
+SELECT e.State, e.n AS Total_Applications, coalesce(d.k, 0) AS Commissioned,
+       round(100e0 * coalesce(d.k, 0) / e.n, 2) AS Conversion_Rate_Pct
+FROM every e LEFT JOIN done d ON d.State IS NOT DISTINCT FROM e.State WHERE e.n > 49""",
     "s2_sla_breach_groups": """
-SELECT DISCOM, State, round(avg(CFA_Credit_Days_After_Commission), 2) AS Avg_CFA_Days, count(*) AS Applications_In_Breach
-FROM applications WHERE CFA_Credit_Days_After_Commission IS NOT NULL
-GROUP BY DISCOM, State HAVING avg(CFA_Credit_Days_After_Commission) > 60""",
+WITH days AS (SELECT DISCOM, State, CFA_Credit_Days_After_Commission AS d, count(*) AS k FROM applications GROUP BY ALL),
+total AS (SELECT DISCOM, State, sum(d * k) AS d, CAST(sum(k) AS BIGINT) AS k FROM days WHERE d IS NOT NULL GROUP BY ALL)
+SELECT DISCOM, State, round(CAST(d AS DOUBLE) / k, 2) AS Avg_CFA_Days, k AS Applications_In_Breach FROM total WHERE d > 60 * k""",
     "s3_top_vendors": """
 WITH mean AS (SELECT State, Vendor_ID, avg(Vendor_Rating) AS m, count(*) AS n FROM applications
               WHERE Commission_Date IS NOT NULL AND Vendor_Rating IS NOT NULL GROUP BY ALL)
@@ -74,13 +76,17 @@ p AS (SELECT ym, n, (SELECT CAST(sum(o.n) AS BIGINT) FROM m o WHERE o.ym <= m.ym
 SELECT ym AS Year_Month, n AS Monthly_Volume, upto AS Cumulative_Total, before AS Prev_Month_Volume,
        CASE WHEN before > 0 THEN round((n - before) * 100e0 / before, 2) END AS MoM_Growth_Rate_Pct FROM p""",
     "s5_grievance_summary": """
-SELECT Grievance_Type, count(*) AS Total_Count,
-       CAST(sum(CASE WHEN Grievance_Resolved THEN 1 ELSE 0 END) AS BIGINT) AS Resolved_Count,
-       round(100e0 * sum(CASE WHEN Grievance_Resolved THEN 1 ELSE 0 END) / count(*), 2) AS Resolution_Rate_Pct,
-       round(avg(Grievance_TAT_Days), 1) AS Avg_TAT_Days,
-       CASE WHEN round(100e0 * sum(CASE WHEN Grievance_Resolved THEN 1 ELSE 0 END) / count(*), 2) < 60
-              OR round(avg(Grievance_TAT_Days), 1) > 30 THEN 'Requires Attention' ELSE 'On Track' END AS SLA_Flag
-FROM applications WHERE Has_Grievance AND Grievance_Type IS NOT NULL GROUP BY Grievance_Type""",
+WITH split AS (SELECT Grievance_Type, Grievance_Resolved IS TRUE AS ok, count(*) AS n, sum(Grievance_TAT_Days) AS days,
+                      count(Grievance_TAT_Days) AS timed
+               FROM applications WHERE Has_Grievance IS TRUE GROUP BY ALL),
+side AS (SELECT Grievance_Type, CAST(sum(n) AS BIGINT) AS n, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS ok,
+                round(CAST(sum(days) AS DOUBLE) / nullif(sum(timed), 0), 1) AS tat
+         FROM split WHERE Grievance_Type IS NOT NULL GROUP BY ALL)
+SELECT Grievance_Type, n AS Total_Count, ok AS Resolved_Count, round(100e0 * ok / n, 2) AS Resolution_Rate_Pct,
+       tat AS Avg_TAT_Days,
+       ['On Track', 'Requires Attention'][1 + greatest((round(100e0 * ok / n, 2) < 60)::INT, coalesce((tat > 30)::INT, 0))]
+         AS SLA_Flag
+FROM side""",
     "s6_incentive_gap": """
 SELECT DISCOM, round(sum(DISCOM_Incentive_Received_Rs) FILTER (DISCOM_Incentive_Utilised_Rs IS NOT NULL), 2)
          AS Total_Incentive_Received,
@@ -100,10 +106,10 @@ SELECT ['Compliant (<=7%)', 'Marginal (7-9%)', 'Non-Compliant (>9%)'][
 FROM (SELECT *, count(*) OVER (PARTITION BY State, Actual_Interest_Rate_pct > 7, Actual_Interest_Rate_pct > 9) AS per_state
       FROM applications WHERE Has_Loan AND Actual_Interest_Rate_pct IS NOT NULL) GROUP BY Rate_Bracket""",
     "s8_underserved": """
-SELECT State, count(*) AS Underserved_Count, round(avg(Market_Cost_Rs - CFA_Sanctioned_Rs), 2) AS Avg_Out_Of_Pocket
-FROM applications
-WHERE Beneficiary_Category IN ('BPL', 'SC/ST') AND System_Size_kW = 3
-  AND (Loan_Approved IS NULL OR NOT Loan_Approved) AND CFA_Sanctioned_Rs < 0.5e0 * Market_Cost_Rs
+SELECT State, count(*) AS Underserved_Count, round(sum(gap) / count(gap), 2) AS Avg_Out_Of_Pocket
+FROM (SELECT State, Market_Cost_Rs - CFA_Sanctioned_Rs AS gap FROM applications a
+      WHERE System_Size_kW = 3 AND list_contains(['BPL', 'SC/ST'], Beneficiary_Category)
+        AND Loan_Approved IS NOT TRUE AND CFA_Sanctioned_Rs / Market_Cost_Rs < 0.5e0 AND Market_Cost_Rs > 0)
 GROUP BY State""",
 }
 _ORACLE_REPORTS["s4_monthly_growth_peak"] = _ORACLE_REPORTS["s4_monthly_growth"] + """
@@ -1075,10 +1081,112 @@ def names() -> list[str]:
     return list(QUERIES)
 
 
+# ================================================== ordered tables (2.5-2.8)
+#: Orders moved into the days of the events; one user asks a third of all.
+def _asked(t):
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) % 31
+    hot = F.when(F.col("o_orderkey") % 3 == 0, 7).otherwise(F.col("o_custkey") % 150)
+    start = F.lit("2024-01-01").cast("timestamp")
+    return t.base("orders").select("o_orderkey", hot.cast("long").alias("user_id"),
+                                   F.timestamp_micros(F.unix_micros(start) + day.cast("long") * 86_400_000_000).alias("asked_at"))
+
+
+@register("asof_last_event", """
+WITH asked AS (
+  SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey % 150 END AS BIGINT) AS user_id,
+         epoch_us(TIMESTAMP '2024-01-01') + (datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 31)
+           * 86400000000 AS at_us
+  FROM orders),
+last_one AS (
+  SELECT a.o_orderkey, a.user_id, max({'t': epoch_us(e.ts), 'id': e.event_id}) AS m
+  FROM asked a JOIN events e ON e.user_id = a.user_id AND epoch_us(e.ts) <= a.at_us GROUP BY ALL)
+SELECT a.o_orderkey, a.user_id, e.event_id, e.event_type
+FROM asked a LEFT JOIN last_one l USING (o_orderkey) LEFT JOIN events e ON e.event_id = l.m.id""")
+def _asof(t):
+    out = od.asof_join(_asked(t), t.base("events").withColumnRenamed("user_id", "who"), {"user_id": "who"}, "asked_at", "ts",
+                       ["event_id", "event_type"], ties=["event_id"])
+    return out.select("o_orderkey", "user_id", "event_id", "event_type")
+
+
+@register("interval_overlaps", """
+SELECT s.o_orderkey AS stage_order, w.o_orderkey AS window_order,
+       CAST(datediff('day', greatest(s.o_orderdate, w.o_orderdate),
+                     least(s.o_orderdate + INTERVAL 1 DAY * (10 + s.o_orderkey % 90), w.o_orderdate + INTERVAL 14 DAY)) AS INT)
+         AS overlap_days
+FROM orders s JOIN orders w ON s.o_custkey = w.o_custkey AND w.o_orderpriority = '1-URGENT'
+ AND s.o_orderdate <= w.o_orderdate + INTERVAL 14 DAY
+ AND w.o_orderdate <= s.o_orderdate + INTERVAL 1 DAY * (10 + s.o_orderkey % 90)""")
+def _overlaps(t):
+    day = F.col("o_orderdate").cast("date")
+    orders = t.base("orders")
+    stage = orders.select(F.col("o_orderkey").alias("stage_order"), F.col("o_custkey").alias("customer"), day.alias("s_begin"),
+                          F.date_add(day, (10 + F.col("o_orderkey") % 90).cast("int")).alias("s_end"))
+    window = orders.where("o_orderpriority = '1-URGENT'").select(
+        F.col("o_orderkey").alias("window_order"), F.col("o_custkey").alias("w_customer"), day.alias("w_begin"),
+        F.date_add(day, 14).alias("w_end"))
+    out = od.interval_join(stage, window, ("s_begin", "s_end"), ("w_begin", "w_end"), {"customer": "w_customer"})
+    return out.select("stage_order", "window_order",
+                      F.datediff(F.least("s_end", "w_end"), F.greatest("s_begin", "w_begin")).alias("overlap_days"))
+
+
+@register("first_seen_counts", """
+WITH c AS (SELECT user_id, count(*) AS n, min(event_id) AS seen FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT user_id, n, row_number() OVER (ORDER BY n DESC, seen) AS place FROM c""")
+def _first_seen(t):
+    return od.counts_by_first_seen(od.with_source_order(t.base("events")), "user_id", "_source_order")
+
+
+@register("inferred_dates", r"""
+WITH raw AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+                          ELSE strftime(o_orderdate, '%d/%m/%Y') END AS raw FROM orders),
+lead AS (SELECT arg_min(raw, o_orderkey) AS x FROM raw WHERE raw IS NOT NULL)
+SELECT o_orderkey, raw, CAST(CASE WHEN regexp_matches(x, '^\d{4}-') THEN try_strptime(raw, '%Y-%m-%d')
+                                  ELSE try_strptime(raw, '%d/%m/%Y') END AS DATE) AS order_date
+FROM raw, lead""")
+def _inferred(t):
+    day = F.col("o_orderdate").cast("date")
+    raw = F.when(F.col("o_orderkey") % 7 == 0, None).when(F.col("o_orderkey") % 5 == 0, F.date_format(day, "yyyy-MM-dd")
+                                                          ).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    rows = od.with_source_order(t.base("orders")).select("o_orderkey", raw.alias("raw"), "_source_order")
+    return od.infer_day_first(rows, "raw", "_source_order", "order_date").drop("_source_order")
+
+
+@register("global_ranks", """
+SELECT o_orderkey, rank() OVER (ORDER BY o_orderpriority, CAST(o_orderdate AS DATE) DESC) AS place,
+       dense_rank() OVER (ORDER BY o_orderpriority, CAST(o_orderdate AS DATE) DESC) AS dense,
+       ntile(7) OVER (ORDER BY o_totalprice DESC, o_orderkey) AS bucket
+FROM orders""")
+def _global_ranks(t):
+    orders = t.base("orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    tiles = od.global_ntile(orders, [("o_totalprice", False), "o_orderkey"], 7, "bucket")
+    return od.global_rank(tiles, ["o_orderpriority", ("day", False)], "place", "dense").select(
+        "o_orderkey", "place", "dense", "bucket")
+
+
+@register("filled_forward", """
+WITH gap AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'all' ELSE event_type END AS kind, ts,
+                    CASE WHEN event_id % 4 <> 1 THEN value END AS value FROM events)
+SELECT event_id, kind,
+       last_value(value IGNORE NULLS) OVER (PARTITION BY kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS forward,
+       first_value(value IGNORE NULLS) OVER (PARTITION BY kind ORDER BY ts, event_id
+                                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS backward
+FROM gap""")
+def _filled(t):
+    kind = F.when(F.col("event_id") % 3 == 0, "all").otherwise(F.col("event_type"))
+    value = F.when(F.col("event_id") % 4 != 1, F.col("value"))
+    rows = t.base("events").select("event_id", kind.alias("kind"), "ts", value.alias("forward"), value.alias("backward"))
+    out = od.fill_forward(rows, ["kind"], ["ts", "event_id"], ["forward"])
+    return od.fill_backward(out, ["kind"], ["ts", "event_id"], ["backward"]).drop("ts")
+
+
 # ================================================== sources and sinks (2.1)
 def _scratch(t, name: str) -> str:
-    """A folder of its own in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared checkpoint folder, which goes with
+    the application."""
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/sinks/{name}-{uuid.uuid4().hex}"
+    remove_at_exit(t.spark, path)
+    return path
 
 
 @register("read_table", "SELECT n_nationkey, n_name FROM nation")

@@ -84,8 +84,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = root.rstrip("/") + "/tables/" + uuid.uuid4().hex
     with _shuffles_removed(spark):
         df.write.mode("errorifexists").parquet(path)
-    fs, place = _filesystem(spark, path)
-    fs.deleteOnExit(place)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -114,6 +113,12 @@ def _filesystem(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder when the application ends."""
+    fs, place = _filesystem(spark, path)
+    fs.deleteOnExit(place)
+
+
 def drop_frozen(df: DataFrame) -> None:
     """Delete a table made by :func:`cut_lineage` that nothing reads any
     more (a loop's previous round)."""
