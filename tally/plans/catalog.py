@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import null_false, pandas_round, pct
 from ..operators import aggs as A
+from ..operators import bags as bg
 from ..operators import features as fe
 from ..operators import ordered as od
 from ..operators import quality as q
 from ..operators import ranking as rk
+from ..operators import sketches as sk
 from ..operators import stats as st
 from ..session import ensure_checkpoint_dir, remove_at_exit
 from ..sources import io
@@ -1180,6 +1182,73 @@ def _filled(t):
     return od.fill_backward(out, ["kind"], ["ts", "event_id"], ["backward"]).drop("ts")
 
 
+# ================================================== sketches, levels, multisets
+_TENTHS = ([0.0, 0.1, 0.5, 0.9, 1.0], ["lowest", "p10", "median", "p90", "highest"])
+
+
+@register("quantile_sketches", """
+SELECT State, count(Market_Cost_Rs) AS n, min(Market_Cost_Rs) AS lowest, max(Market_Cost_Rs) AS highest,
+       true AS p10_holds, true AS median_holds, true AS p90_holds
+FROM applications GROUP BY State""")
+def _quantile_sketches(t):
+    """Sketches per state and category, merged per state; their measured rank
+    errors against twice the bound (75 comparisons at 99 % each)."""
+    size, (probs, names) = 400, _TENTHS
+    rows = t.applications().select("State", "Beneficiary_Category", "Market_Cost_Rs")
+    fine = sk.quantile_sketch(rows, "Market_Cost_Rs", ["State", "Beneficiary_Category"], size)
+    found = sk.sketch_quantiles(sk.merge_quantile_sketches(fine, ["State"]), probs, names)
+    errors = sk.quantile_rank_errors(rows, "Market_Cost_Rs", found, probs, names, ["State"])
+    held = [(F.col(c) <= 2 * sk.quantile_rank_bound(size)).alias(f"{c}_holds") for c in names[1:4]]
+    return found.select("State", "lowest", "highest").join(errors.select("State", "n", *held), "State")
+
+
+@register("sketch_key_overlap", """
+WITH k AS (SELECT sample_code AS key, 1 AS l, 0 AS r FROM collection UNION ALL SELECT sample_code, 0, 1 FROM testing),
+s AS (SELECT max(l) AS l, max(r) AS r FROM k WHERE key IS NOT NULL GROUP BY key),
+x AS (SELECT sum(l) AS left_keys, sum(r) AS right_keys, sum(l * r) AS overlapping, sum(l * (1 - r)) AS only_left,
+             sum((1 - l) * r) AS only_right FROM s)
+SELECT keys, CAST(n AS BIGINT) AS exact, true AS holds
+FROM (UNPIVOT x ON left_keys, right_keys, overlapping, only_left, only_right INTO NAME keys VALUE n)""")
+def _sketch_key_overlap(t):
+    exact = q.key_overlap(t.collection(), "sample_code", t.testing(), "sample_code")
+    guess = sk.sketch_key_overlap(t.collection(), "sample_code", t.testing(), "sample_code")
+    sets = ["left_keys", "right_keys", "overlapping", "only_left", "only_right"]
+    both = exact.withColumn("kind", F.lit("exact")).unionByName(guess.withColumn("kind", F.lit("guess")))
+    by_set = both.unpivot(["kind"], sets, "keys", "n").groupBy("keys").pivot("kind", ["exact", "guess"]).agg(F.first("n"))
+    whole = exact.select(F.col("left_keys") + F.col("only_right")).scalar()
+    return by_set.select("keys", "exact", (F.abs(F.col("guess") - F.col("exact"))
+                                           <= sk.distinct_bound(F.col("exact"), whole, 12)).alias("holds"))
+
+
+@register("level_totals", """
+SELECT State, Beneficiary_Category, System_Size_kW,
+       CAST(grouping_id(State, Beneficiary_Category, System_Size_kW) AS BIGINT) AS level, count(*) AS n_rows,
+       round_even(sum(Market_Cost_Rs), 2) AS cost, count(DISTINCT Vendor_ID) AS vendors, count(DISTINCT DISCOM) AS discoms
+FROM applications GROUP BY CUBE (State, Beneficiary_Category, System_Size_kW)""")
+def _level_totals(t):
+    keys = ["State", "Beneficiary_Category", "System_Size_kW"]
+    out = bg.level_totals(t.applications(), keys, bg.cube_levels(keys), {"cost": "Market_Cost_Rs"},
+                          {"vendors": "Vendor_ID", "discoms": "DISCOM"})
+    return out.withColumn("cost", pandas_round("cost", 2))
+
+
+@register("multiset_operations", """
+WITH l AS (SELECT o_orderpriority, CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 5 END AS lot FROM orders WHERE o_orderkey % 3 = 0),
+r AS (SELECT o_orderpriority, CASE WHEN o_custkey % 7 > 0 THEN o_custkey % 7 END AS lot FROM orders WHERE o_orderkey % 4 = 1)
+SELECT 'intersect' AS operation, * FROM (SELECT * FROM l INTERSECT ALL SELECT * FROM r)
+UNION ALL SELECT 'except', * FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r)
+UNION ALL SELECT 'union', * FROM l UNION ALL SELECT 'union', * FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)""")
+def _multisets(t):
+    def bag(of, lots):
+        lot = F.col("o_custkey") % lots
+        return t.base("orders").where(of).select("o_orderpriority", F.when(lot > 0, lot).alias("lot"))
+
+    left, right = bag("o_orderkey % 3 = 0", 5), bag("o_orderkey % 4 = 1", 7)
+    out = [f(left, right).select(F.lit(name).alias("operation"), "*") for name, f in (
+        ("intersect", bg.intersect_rows), ("except", bg.except_rows), ("union", bg.largest_union_rows))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ================================================== sources and sinks (2.1)
 def _scratch(t, name: str) -> str:
     """A folder of its own in the shared checkpoint folder, which goes with
