@@ -16,6 +16,11 @@ pairs are counted where they are found and not emitted: a block pair returns
 one count per vector and a spanning forest of its links.  A pair is counted
 only in the first table it shares.
 
+What moves per table is a vector in its own element type (single precision
+stays so until the cosine, taken in double) and its codes of the tables before
+(32 bits each; the buckets are made of the same codes, so two vectors of equal
+codes do meet).
+
 Defined results: vectors that are null, empty, all zero, or hold null or
 non-finite components link with nothing; vectors of different dimension do
 not link; rows that repeat an id count as vectors each and form one
@@ -74,7 +79,8 @@ def _hasher(dimension: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray
 def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: float = 0.95,
                     recall: float = 0.99) -> DataFrame:
     """Columns: the id, ``n_links``, ``component_id`` and ``kept``."""
-    rows = df.select(number(id_col, vector_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_vec"))
+    element = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(number(id_col, vector_col).alias("_id"), F.col(vector_col).cast(f"array<{element}>").alias("_vec"))
     # Infinity and NaN times zero is not zero; a null makes the test null.
     sound = F.forall("_vec", lambda x: x.isNotNull() & (x * 0 == 0)) & F.exists("_vec", lambda x: x != 0)
     usable = F.coalesce(sound, F.lit(False))
@@ -87,7 +93,7 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: floa
         known: dict[int, tuple] = {}
         for batch in batches:
             vectors = [np.asarray(x, np.float64) for x in batch.column(0).to_pylist()]
-            codes = np.zeros((len(vectors), tables), np.int64)
+            codes = np.zeros((len(vectors), tables), np.int32)
             sizes = np.array([len(v) for v in vectors])
             for d in np.unique(sizes):
                 if d not in known:
@@ -98,14 +104,15 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: floa
                 x /= np.max(np.abs(x), axis=1, keepdims=True)  # no overflow in the norm
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 cell = np.floor((x @ spread + shift) / CELL).astype(np.int64).reshape(len(at), tables, k)
-                codes[at] = (cell * mixer).sum(axis=2) * 0x9E3779B1 + int(d)
+                mixed = ((cell * mixer).sum(axis=2) + int(d)) * 0x1E3779B97F4A7C15
+                codes[at] = mixed >> 32
             flat = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(0), flat],
                                              names=["_rep", "_weight", "_vec", "_codes"])
 
     hashed = cut_lineage(classes.select("_vec", "_rep", "_weight").mapInArrow(
-        hash_, "_rep long, _weight long, _vec array<double>, _codes array<long>"))
+        hash_, f"_rep long, _weight long, _vec array<{element}>, _codes array<int>"))
     held = hashed.select("_rep", F.posexplode("_codes").alias("_table", "_code"))
     crowded = held.groupBy("_table", "_code").agg(F.count("*").alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
@@ -116,7 +123,8 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, threshold: floa
               .select("_rep", "_table", "_code", F.least("_own", "_other").alias("_i"),
                       F.greatest("_own", "_other").alias("_j"), "_own"))
     groups = ["_table", "_code", "_i", "_j"]
-    work = (placed.join(hashed, "_rep").select(*groups, "_own", "_rep", "_weight", "_vec", "_codes")
+    before = F.slice("_codes", 1, F.col("_table")).alias("_codes")
+    work = (placed.join(hashed, "_rep").select(*groups, "_own", "_rep", "_weight", "_vec", before)
             .repartition(*groups).sortWithinPartitions(*groups))
 
     def compare(batches):
@@ -142,8 +150,8 @@ def _compare_groups(table: pa.Table, ranges: list[tuple[int, int]], threshold: f
     rep, weight = table.column(5).to_numpy(), table.column(6).to_numpy()
     vec, codes = (table.column(c).chunk(0) for c in (7, 8))
     flat, starts = vec.flatten().to_numpy(), vec.offsets.to_numpy() - vec.offsets[0].as_py()
-    tables = len(codes.flatten()) // table.num_rows
-    codes = codes.flatten().to_numpy().reshape(-1, tables)
+    code_starts = codes.offsets.to_numpy() - codes.offsets[0].as_py()
+    codes = codes.flatten().to_numpy()
     size = np.diff(starts)
     out_rep, out_links, out_with = [], [], []
     for lo, hi in ranges:
@@ -158,6 +166,7 @@ def _compare_groups(table: pa.Table, ranges: list[tuple[int, int]], threshold: f
         for at in continue_at:
             x = np.stack([flat[starts[i]:starts[i + 1]] for i in at]) if len(continue_at) > 1 else \
                 flat[starts[lo]:starts[hi]].reshape(hi - lo, dimension)
+            x = x.astype(np.float64)
             x = x / np.max(np.abs(x), axis=1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             near = x @ x.T >= threshold
@@ -168,7 +177,7 @@ def _compare_groups(table: pa.Table, ranges: list[tuple[int, int]], threshold: f
                 continue
             a, b = np.nonzero(np.triu(near))
             for t in range(int(number[lo])):  # shared an earlier table: counted there
-                fresh = codes[at[a], t] != codes[at[b], t]
+                fresh = codes[code_starts[at[a]] + t] != codes[code_starts[at[b]] + t]
                 a, b = a[fresh], b[fresh]
                 if not len(a):
                     break
