@@ -16,8 +16,9 @@ one Arrow pass over whole texts without a shuffle.
 
 Defined results: null and empty texts get the classifiers' score of a text
 without words; without a positive or an unlabelled text to learn from every
-score is the prior; a repeated id is learnt from once; a document labelled more than once counts as toxic if
-one label says so; null ids and labels are never learnt from.
+score is the prior; a repeated id is learnt from once (its text of the
+smallest hash); a document labelled more than once counts as toxic if one
+label says so; null ids and labels are never learnt from.
 """
 
 from __future__ import annotations
@@ -94,7 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     chosen = F.broadcast(some.select("_id", F.lit(True).alias("positive"))
                          .unionByName(rest.select("_id", F.lit(False).alias("positive"))))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
-    texts = texts.dropDuplicates(["_id", "positive"])  # one text per sampled id
+    # one text per sampled id: the one of the smallest hash
+    texts = (texts.groupBy("_id", "positive").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), "_text")).alias("_first"))
+             .select("positive", "_first._text"))
     rows = texts.select("positive", "_text").mapInArrow(_fetch, "positive boolean, words binary").collect()
     rows = sorted((bool(r["positive"]), bytes(r["words"])) for r in rows)
     return train([np.frombuffer(w, np.int32) for p, w in rows if p],

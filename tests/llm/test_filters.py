@@ -162,6 +162,22 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert toxicity.score(docs.limit(0), "doc_id", "text", model).count() == 0
 
 
+def test_toxicity_of_repeated_ids_in_any_order(spark):
+    """Which text of a repeated id is learnt from does not hang on the order
+    of the rows, and a text of a megabyte is a text like others."""
+    rng = random.Random(9)
+    rows = [(i % 600, " ".join(("bad" if i % 600 < 120 else "w") + str(rng.randrange(9)) for _ in range(3)), i % 3)
+            for i in range(1800)] + [(601, "w1 w2 " * 170_000, 0), (602, None, 0), (602, "w3", 1)]
+    marks = spark.createDataFrame([(i, int(i < 120)) for i in range(603)], "doc_id long, toxic int")
+    models = []
+    for parts, given in ((1, rows), (7, rows[::-1])):
+        docs = spark.createDataFrame(given, "doc_id long, text string, positive int").repartition(parts)
+        models.append(toxicity.fit(docs, marks, "doc_id", "text", "toxic"))
+        got = toxicity.score(docs, "doc_id", "text", models[-1])
+        assert got.count() == len(rows)
+    assert models[0].words.size and all(np.array_equal(a, b) for a, b in zip(*models, strict=True))
+
+
 def test_risk_estimate_stays_above_zero():
     """With all texts positive the unlabelled part is reversed, not driven
     below zero: weights stay finite and small."""
