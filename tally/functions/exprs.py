@@ -184,10 +184,12 @@ PY_FLOAT_PATTERN = (
 
 def py_float(c) -> Column:
     """Python ``float(str)``: NULL where Python would raise.  ``try_cast``
-    alone would accept ``'1d'`` and reject ``'1_000'``."""
-    s = py_strip(col(c).cast("string"))
-    return F.when(s.rlike(PY_FLOAT_PATTERN),
-                  F.regexp_replace(s, "_", "").try_cast("double"))
+    alone would accept ``'1d'`` and reject ``'1_000'``.  A text of digits and
+    points alone needs neither stripping nor the pattern: the cast decides."""
+    x = col(c).cast("string")
+    s = py_strip(x)
+    return F.when(F.translate(x, "0123456789.", "") == "", x.try_cast("double")).when(
+        s.rlike(PY_FLOAT_PATTERN), F.regexp_replace(s, "_", "").try_cast("double"))
 
 
 def _let(value: Column, use) -> Column:
