@@ -24,6 +24,7 @@ from ..operators import quality as q
 from ..operators import ranking as rk
 from ..operators import sketches as sk
 from ..operators import stats as st
+from ..operators import table_functions as tf
 from ..session import ensure_checkpoint_dir, remove_at_exit
 from ..sources import io
 from . import oracle as O
@@ -920,6 +921,35 @@ def _failure_message(t):
     return ev.groupBy("Failure_Reason").agg(F.count("*").alias("Count"))
 
 
+# ------------------------------------------- rules as tables (2.12)
+_RR = "WITH " + O.rule_rows_cte()
+
+
+@register("rule_fail_rows", _RR + """
+SELECT sample_code, rule, value, message FROM rr WHERE message IS NOT NULL""")
+def _rule_fail_rows(t):
+    rows = tf.rule_rows(t.testing(), ["sample_code"])
+    return rows.where("outcome = 'FAIL'").select("sample_code", "rule", "value", "message")
+
+
+@register("rule_outcome_counts", _RR + """
+SELECT rule, CASE WHEN message IS NULL THEN 'PASS' ELSE 'FAIL' END AS outcome, count(*) AS n FROM rr GROUP BY ALL""")
+def _rule_outcome_counts(t):
+    return tf.rule_rows(t.testing(), ["sample_code"]).groupBy("rule", "outcome").agg(F.count("*").alias("n"))
+
+
+@register("rule_tally", _RR + """
+SELECT rule, count(*) AS fails, count(*) - count(number) AS without_number, max(number) AS worst FROM rr
+WHERE message IS NOT NULL GROUP BY rule""")
+def _rule_tally(t):
+    name = tf.register_rule_tally(t.spark)
+    view = "rule_rows_" + uuid.uuid4().hex
+    io.register_view(tf.rule_rows(t.testing(), []), view)
+    return t.spark.sql(f"""
+        SELECT rule, sum(n) AS fails, sum(n_without_number) AS without_number, max(worst) AS worst
+        FROM {name}(TABLE(SELECT rule, number FROM {view} WHERE outcome = 'FAIL')) GROUP BY rule""")
+
+
 @register("status_summary", _T_EVAL + """
 SELECT Pass_Fail AS Result, count(*) AS Count, round_even(count(*) * 100e0 / (SELECT count(*) FROM testing), 2) AS Percentage
 FROM t_eval GROUP BY Pass_Fail""")

@@ -133,9 +133,13 @@ def nondetect_expr(x: str) -> str:
     return f"({terms})"
 
 
+def number_expr(x: str) -> str:
+    return (f"(CASE WHEN regexp_full_match(trim({x}), {_s(NUMBER)}) "
+            f"THEN TRY_CAST(replace(trim({x}), '_', '') AS DOUBLE) END)")
+
+
 def limit_msg(x: str, limit: int) -> str:
-    num = (f"(CASE WHEN regexp_full_match(trim({x}), {_s(NUMBER)}) "
-           f"THEN TRY_CAST(replace(trim({x}), '_', '') AS DOUBLE) END)")
+    num = number_expr(x)
     return (f"CASE WHEN {x} IS NULL OR {nondetect_expr(x)} THEN NULL "
             f"WHEN {num} IS NULL THEN printf('%s = ''%s'' (unreadable value)', {_s(x)}, trim({x})) "
             f"WHEN {num} > {limit} AND NOT isnan({num}) "
@@ -146,6 +150,15 @@ def positive_msg(x: str) -> str:
     return f"CASE WHEN lower(trim({x})) = 'positive' THEN {_s(x)} || ' = ' || trim({x}) || ' (expected Negative)' END"
 
 
+def rule_rows_cte() -> str:
+    """``rr``: testing as one row per non-null value, rule by rule."""
+    parts = [f"SELECT sample_code, {_s(x)} AS rule, {x} AS value, {number_expr(x)} AS number, {limit_msg(x, n)} AS message "
+             f"FROM testing WHERE {x} IS NOT NULL" for x, n in LIMITS.items()]
+    parts += [f"SELECT sample_code, {_s(x)}, {x}, CAST(NULL AS DOUBLE), {positive_msg(x)} "
+              f"FROM testing WHERE {x} IS NOT NULL" for x in POSITIVE_FAILS]
+    return "rr AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
 def gestalt_map_ctes(prefix: str, raw_values_sql: str) -> str:
     """``{prefix}_map(raw, std)`` looked up in the label table; a label that
     the table lacks gets NULL and fails the comparison."""
