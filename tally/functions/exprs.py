@@ -182,13 +182,18 @@ PY_FLOAT_PATTERN = (
 )
 
 
+def is_digits(x: Column) -> Column:
+    """Whether a text holds nothing but ASCII digits and points."""
+    return F.translate(x, "0123456789.", "") == ""
+
+
 def py_float(c) -> Column:
     """Python ``float(str)``: NULL where Python would raise.  ``try_cast``
     alone would accept ``'1d'`` and reject ``'1_000'``.  A text of digits and
     points alone needs neither stripping nor the pattern: the cast decides."""
     x = col(c).cast("string")
     s = py_strip(x)
-    return F.when(F.translate(x, "0123456789.", "") == "", x.try_cast("double")).when(
+    return F.when(is_digits(x), x.try_cast("double")).when(
         s.rlike(PY_FLOAT_PATTERN), F.regexp_replace(s, "_", "").try_cast("double"))
 
 
