@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from ..functions.exprs import py_fixed4, py_float, py_strip
 from .quality import DEFAULT_RULES, PASS_TOKENS, Rule, nondetect_token
@@ -54,30 +56,37 @@ def rule_rows(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = DEFAUL
 
 
 class _RuleTally:
-    """Counts and greatest number per rule of the rows that one task sees."""
+    """Counts and greatest number per rule of the rows that one task sees,
+    folded one Arrow batch at a time."""
 
     def __init__(self) -> None:
-        self.seen: dict[str, list] = {}
+        self.seen: dict[str | None, list] = {}
 
-    def eval(self, row) -> None:
-        state = self.seen.setdefault(row["rule"], [0, 0, None])
-        state[0] += 1
-        number = row["number"]
-        if number is None:
-            state[1] += 1
-        elif state[2] is None or number > state[2]:
-            state[2] = number
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        rows = pa.table({"rule": batch.column("rule"), "number": batch.column("number")})
+        folded = rows.group_by("rule").aggregate([
+            ("number", "count", pc.CountOptions(mode="all")), ("number", "count", pc.CountOptions(mode="only_null")),
+            ("number", "max")])
+        for rule, n, blank, worst in zip(*(c.to_pylist() for c in folded.columns), strict=True):
+            state = self.seen.setdefault(rule, [0, 0, None])
+            state[0] += n
+            state[1] += blank
+            if worst is not None and (state[2] is None or worst > state[2]):
+                state[2] = worst
+        return iter(())
 
-    def terminate(self) -> Iterator[tuple]:
-        for rule, (n, blank, worst) in self.seen.items():
-            yield rule, n, blank, worst
+    def terminate(self) -> Iterator[pa.Table]:
+        rows = [(rule, *state) for rule, state in self.seen.items()]
+        yield pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (
+            pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)],
+            names=["rule", "n", "n_without_number", "worst"])
 
 
 def register_rule_tally(spark: SparkSession, name: str = "rule_tally") -> str:
     """Register the table function: its argument is a table with ``rule`` and
     ``number``; it returns partial rows (rule, n, n_without_number, worst)
-    that the caller sums up.  NaN is never the worst unless it comes first;
-    rows that :func:`rule_rows` calls failed hold none."""
-    spark.udtf.register(name, udtf(
+    that the caller sums up.  NaN is never the worst beside a number; rows
+    that :func:`rule_rows` calls failed hold none."""
+    spark.udtf.register(name, arrow_udtf(
         _RuleTally, returnType="rule string, n bigint, n_without_number bigint, worst double"))
     return name

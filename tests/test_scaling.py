@@ -42,3 +42,11 @@ def test_messages_are_formed_by_batches(tables, name):
 def test_outcomes_form_no_messages(tables, name):
     plan = plan_of(catalog.QUERIES[name][0](tables))
     assert "greatest" not in plan and "reason(" not in plan  # the first failing rule settles it
+
+
+def test_tally_takes_batches(spark):
+    name = tf.register_rule_tally(spark, "tally_by_batch")
+    spark.createDataFrame([("a", 1.0), ("a", None), (None, 2.0)], "rule string, number double").createOrReplaceTempView("tb")
+    out = spark.sql(f"SELECT rule, sum(n) n, sum(n_without_number) b, max(worst) w FROM {name}(TABLE(tb)) GROUP BY rule")
+    assert {tuple(r) for r in out.collect()} == {("a", 2, 1, 1.0), (None, 1, 0, 2.0)}
+    assert "BatchEvalPythonUDTF" not in plan_of(out)
