@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, shuffle_partitions
 
 # ------------------------------------------------------------- levels
 def rollup_levels(keys: Sequence[str]) -> list[tuple[str, ...]]:
@@ -21,6 +22,18 @@ def cube_levels(keys: Sequence[str]) -> list[tuple[str, ...]]:
     return [level for n in range(len(keys), -1, -1) for level in combinations(keys, n)]
 
 
+#: Rows that one task of :func:`level_totals` folds at most.
+TASK_ROWS = 1 << 21
+
+
+def _dealt(df: DataFrame, times: int) -> tuple[DataFrame, int]:
+    """``df`` frozen and dealt evenly, for rows that will be repeated ``times``
+    times, and the number of tasks that ``TASK_ROWS`` asks for."""
+    held = cut_lineage(df)
+    tasks = max(1, -(-held.count() * times // TASK_ROWS))
+    return held.repartition(tasks) if tasks > 1 else held, tasks
+
+
 def level_totals(df: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[str]],
                  sums: Mapping[str, Column | str] | None = None,
                  distinct: Mapping[str, Column | str] | None = None) -> DataFrame:
@@ -33,7 +46,11 @@ def level_totals(df: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[s
     The rows are read once and folded to *cells* (all keys, and per distinct
     column its value) before anything is repeated; the levels are expanded
     from the cells.  A distinct value is a group of its own until the last
-    step, which only counts, so no task holds a group's set of values."""
+    step, which only counts, so no task holds a group's set of values.
+
+    Rows and cells are frozen before they are repeated, and dealt to so many
+    tasks that none folds more than ``TASK_ROWS`` of the repeated rows: more
+    rows mean more tasks, not larger ones."""
     keys, sums, distinct = list(keys), dict(sums or {}), dict(distinct or {})
     unknown = {c for level in levels for c in level} - set(keys)
     if unknown:
@@ -52,6 +69,8 @@ def level_totals(df: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[s
     kinds = [F.struct(F.lit(i).alias("kind"), *[
         (F.col(c) if i == j else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for j, c in enumerate(d, 1)])
         for i in range(len(d) + 1)]
+    spark = df.sparkSession
+    rows, tasks = _dealt(rows, len(kinds)) if d else (rows, 1)  # without distinct values a task holds few groups
     tagged = rows.select(*k, *s, F.explode(F.array(*kinds)).alias("_x")).select(
         *k, "_x.*", *[F.when(F.col("_x.kind") == 0, F.col(c)).alias(c) for c in s])
     filled = F.col("kind") == 0
@@ -59,13 +78,19 @@ def level_totals(df: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[s
         filled = filled | ((F.col("kind") == i) & F.col(c).isNotNull())
     folded = [F.sum(c).alias(c) for c in s]
     cells = tagged.where(filled).groupBy(*k, "kind", *d).agg(F.count("*").alias("_n"), *folded)
+    if d:
+        with shuffle_partitions(spark, tasks):
+            cells, tasks = _dealt(cells, len(levels))
 
     wanted = sorted({sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in level) for level in levels})
     masks = [F.struct(F.lit(w).cast("bigint").alias("_level"), *[
         (F.lit(None).cast(rows.schema[c].dataType) if w >> (len(keys) - 1 - i) & 1 else F.col(c)).alias(c)
         for i, c in enumerate(k)]) for w in wanted]
     spread = cells.select(F.explode(F.array(*masks)).alias("_m"), "kind", *d, "_n", *s).select("_m.*", "kind", *d, "_n", *s)
-    sets = spread.groupBy("_level", *k, "kind", *d).agg(F.sum("_n").alias("_n"), *folded) if d else spread
+    sets = spread
+    if d:
+        with shuffle_partitions(spark, tasks):
+            sets = cut_lineage(spread.groupBy("_level", *k, "kind", *d).agg(F.sum("_n").alias("_n"), *folded))
     out = sets.groupBy("_level", *k).agg(
         F.sum(F.when(F.col("kind") == 0, F.col("_n"))).alias("n_rows"), *folded,
         *[F.count_if(F.col("kind") == i).alias(c) for i, c in enumerate(d, 1)])

@@ -50,3 +50,20 @@ def test_tally_takes_batches(spark):
     out = spark.sql(f"SELECT rule, sum(n) n, sum(n_without_number) b, max(worst) w FROM {name}(TABLE(tb)) GROUP BY rule")
     assert {tuple(r) for r in out.collect()} == {("a", 2, 1, 1.0), (None, 1, 0, 2.0)}
     assert "BatchEvalPythonUDTF" not in plan_of(out)
+
+
+def test_levels_are_folded_by_bounded_tasks(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") % 3).alias("a"), (F.col("id") % 7).alias("b"), F.col("id").alias("v"),
+                                  F.col("id").cast("double").alias("x"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    keys = ["a", "b"]
+    whole = bg.level_totals(df, keys, bg.cube_levels(keys), {"x": "x"}, {"v": "v"})
+    want = {tuple(r) for r in whole.collect()}
+    seen = []
+    dealt = bg._dealt
+    monkeypatch.setattr(bg, "TASK_ROWS", 500)
+    monkeypatch.setattr(bg, "_dealt", lambda *x: seen.append(dealt(*x)) or seen[-1])
+    out = bg.level_totals(df, keys, bg.cube_levels(keys), {"x": "x"}, {"v": "v"})
+    assert {tuple(r) for r in out.collect()} == want and len(want) == 32
+    assert [(d.rdd.getNumPartitions(), n) for d, n in seen] == [(20, 20), (41, 41)]  # 5000 x 2, 5021 x 4 rows
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
