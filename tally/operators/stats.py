@@ -64,7 +64,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     v = F.col(value_col).cast("double")
     base = df.select(*[F.col(c) for c in g], v.alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    return _quantiles_from_counts(base, g, probs, names)
+    return _quantiles_from_counts(_ordered_counts(base, g), g, probs, names)
 
 
 def _interpolate(picked: DataFrame, g: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -83,10 +83,15 @@ def _segment_offsets(seg: DataFrame, g: Sequence[str], size: str) -> DataFrame:
                .withColumn("_n", F.sum(size).over(within)))
 
 
-def _quantiles_from_counts(base: DataFrame, g: Sequence[str], probs, names) -> DataFrame:
+def _ordered_counts(base: DataFrame, g: Sequence[str]) -> DataFrame:
+    """The different (group, value) pairs with their counts ``_c``, range
+    partitioned and frozen with their partition ``_p``."""
     counted = base.groupBy(*g, "_v").agg(F.count("*").alias("_c"))
-    ordered = cut_lineage(counted.repartitionByRange(*[F.col(c) for c in g], F.col("_v"))
-                          .withColumn("_p", F.spark_partition_id()))
+    return cut_lineage(counted.repartitionByRange(*[F.col(c) for c in g], F.col("_v"))
+                       .withColumn("_p", F.spark_partition_id()))
+
+
+def _quantiles_from_counts(ordered: DataFrame, g: Sequence[str], probs, names) -> DataFrame:
     seg = _segment_offsets(ordered.groupBy(*g, "_p").agg(F.sum("_c").alias("_pc")), g, "_pc")
     wanted = []
     for i, q in enumerate(probs):
@@ -230,21 +235,24 @@ def histogram_bins(df: DataFrame, value_col: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     """Box-plot numbers: quartiles, whiskers at the most extreme values
-    inside the Q1 - k*IQR / Q3 + k*IQR fences, and the outlier count."""
+    inside the Q1 - k*IQR / Q3 + k*IQR fences, and the outlier count.  The
+    rows are read once: the whiskers and outliers come from the frozen value
+    counts that the quartiles were found in."""
     g = list(group_cols)
-    qs = exact_quantiles(df, value_col, [0.25, 0.5, 0.75], g, names=["q1", "median", "q3"])
+    x = F.col(value_col).cast("double")
+    vals = df.select(*g, x.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ordered = _ordered_counts(vals, g)
+    qs = _quantiles_from_counts(ordered, g, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     fences = qs.select(*g, "n", "q1", "median", "q3",
                        (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                        (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    x = F.col(value_col).cast("double")
-    vals = df.select(*g, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    joined = vals.join(fences.select(*g, "lo_fence", "hi_fence"), g, "inner") if g else \
-        attach_row(vals, fences, ["lo_fence", "hi_fence"])
-    inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
+    joined = ordered.join(fences.select(*g, "lo_fence", "hi_fence"), g, "inner") if g else \
+        attach_row(ordered, fences, ["lo_fence", "hi_fence"])
+    inside = (F.col("_v") >= F.col("lo_fence")) & (F.col("_v") <= F.col("hi_fence"))
     wh = joined.groupBy(*g).agg(
-        F.min(F.when(inside, F.col("x"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("x"))).alias("upper_whisker"),
-        F.sum(F.when(inside, 0).otherwise(1)).cast("bigint").alias("n_outliers"))
+        F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
+        F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).cast("bigint").alias("n_outliers"))
     out = fences.join(wh, g, "left") if g else attach_row(fences, wh, ["lower_whisker", "upper_whisker", "n_outliers"])
     return out.select(*g, "n", "q1", "median", "q3", "lower_whisker", "upper_whisker", "n_outliers")
 

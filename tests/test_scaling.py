@@ -67,3 +67,12 @@ def test_levels_are_folded_by_bounded_tasks(spark, monkeypatch):
     assert {tuple(r) for r in out.collect()} == want and len(want) == 32
     assert [(d.rdd.getNumPartitions(), n) for d, n in seen] == [(20, 20), (41, 41)]  # 5000 x 2, 5021 x 4 rows
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_box_stats_read_the_rows_once(spark):
+    df = spark.range(1000).select(F.lit("g").alias("g"), (F.col("id") % 100 + F.when(F.col("id") == 5, 900).otherwise(0)).alias("x"))
+    for groups in (["g"], []):
+        out = st.box_stats(df, "x", groups)
+        assert "Range (" not in plan_of(out)
+        r = out.first()
+        assert (r.n, r.lower_whisker, r.upper_whisker, r.n_outliers) == (1000, 0.0, 99.0, 1)
