@@ -132,6 +132,38 @@ def test_op4_query_holds_every_verbatim_copy(spark):
     assert all(r.covered >= decontaminate.PARAPHRASED for r in got.values())
 
 
+def test_candidates_reach_brute_force_beyond_the_sample(spark, monkeypatch):
+    """Recall of a space fitted on few of the documents."""
+    monkeypatch.setattr(decontaminate, "SAMPLE_DOCS", 20)
+    rng = random.Random(8)
+    word = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = [[rng.choice(word) for _ in range(rng.randint(16, 40))] for _ in range(20)]
+    docs = []
+    for i in range(400):
+        body = [rng.choice(word) for _ in range(120)]
+        if i % 4 == 0:  # leaked with words exchanged, so that runs of common words are short
+            leak = [w if rng.random() < 0.85 else rng.choice(word) for w in texts[i % 20]]
+            body[50:50] = leak
+        docs.append((i, " ".join(body)))
+    bench = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    items = decontaminate.items_of([t for _, t in bench])
+    want = set()
+    for i, text in docs:
+        h = decontaminate._word_hashes(text)
+        for item in items:
+            m = len(item.words)
+            for a in range(0, max(1, len(h) - 2 * m), m):
+                part = h[a:a + 4 * m]
+                covered = decontaminate.common_subsequence(item.words, part) / m
+                if covered >= decontaminate.COPIED or (
+                        covered >= decontaminate.PARAPHRASED and decontaminate.contains(part, item.answer)):
+                    want.add((i, item.key))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text",
+        spark.createDataFrame(bench, "item_id int, text string"), "item_id", "text").collect()}
+    assert len(want) > 50 and len(got & want) >= 0.9 * len(want)
+
+
 # -- toxicity --------------------------------------------------------------
 
 def test_toxicity_learns_from_positives_and_unlabelled(spark):
