@@ -1,10 +1,12 @@
 """Language identification by cross-parsing entropy.
 
-For every language a suffix automaton is built over a bounded sample of its
-labelled text.  A text is parsed greedily into the longest phrases that occur
-in the sample; few phrases mean that the sample predicts the text well.  The
-number of phrases times the bits of one pointer into the sample, per symbol,
-estimates the cross entropy, and the language with the lowest estimate wins.
+For every language the words of all its labelled texts are counted, each text
+whole (:func:`learn`).  The most frequent words, one after the other, are what
+the language is known by: a suffix automaton is built over them.  A text is
+parsed greedily into the longest phrases that occur there; few phrases mean
+that the words predict the text well.  The number of phrases times the bits of
+one pointer into the words, per symbol, estimates the cross entropy, and the
+language with the lowest estimate wins.
 
 Symbols are the text's UTF-8 bytes with A-Z in lower case and every run of
 ASCII non-letters as one blank.  Phrases end at segment borders
@@ -12,10 +14,12 @@ ASCII non-letters as one blank.  Phrases end at segment borders
 batch are parsed in lockstep through dense transition tables: a text of any
 length costs the same per byte, and nothing is shuffled.
 
-The sample per language is at most ``SAMPLE_TEXTS`` different beginnings of
-texts, of ``SAMPLE_TEXT_BYTES`` bytes at most (shorter texts whole, a
-character cut in two left out), taken in hash order, and of these up to
-``SAMPLE_BYTES``; only this bounded sample reaches the driver.
+The size of a model is fixed, what it is learnt from is not: every word of
+every labelled text is counted by the executors, and only the ``MODEL_WORDS``
+most frequent words of a language reach the driver (equal counts in byte
+order), of which the first ``MODEL_BYTES`` make the model.  A run of letters
+longer than ``WORD_BYTES``, as in scripts without blanks, is counted by its
+pieces of ``PIECE_CHARS`` characters.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 with nothing to learn from everything is ``und``; equal estimates go to the
@@ -36,11 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .memory import lean
-from .words import LOWER, byte_class, slices, text_buffers
+from .words import LOWER, Words, byte_class, slices, text_buffers
 
+#: Size of a language's model, not of what it is learnt from.
+MODEL_WORDS, MODEL_BYTES = 1 << 13, 40_000
+WORD_BYTES, PIECE_CHARS = 32, 2
+#: Parts of a language's words, ranked by themselves before they meet.
+PARTS = 32
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 64, 4096, 40_000
 SEGMENT = 256
-#: Phrases that any text may take: the first, and one where two samples meet.
+#: Phrases that any text may take: the first, and one where two words of the model meet.
 FREE = 2
 UNDETERMINED = "und"
 #: Bytes per lockstep pass.
@@ -55,8 +64,91 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
+def _learnt_words(found: Words) -> None:
+    """Cut the long words of ``found`` into pieces (in place; order is lost)."""
+    long = found.ends - found.starts > WORD_BYTES
+    if not long.any():
+        return
+    starts, ends = found.starts[long], found.ends[long]
+    leads = np.flatnonzero((found.data & 0xC0) != 0x80)  # first bytes of characters
+    lo, hi = np.searchsorted(leads, starts), np.searchsorted(leads, ends)
+    per = -(-(hi - lo) // PIECE_CHARS)
+    owner = np.repeat(np.arange(len(starts)), per)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    begin = leads[lo[owner] + nth * PIECE_CHARS]
+    end = ends[owner]
+    inner = nth + 1 < per[owner]
+    end[inner] = begin[1:][inner[:-1]]
+    found.starts = np.concatenate([found.starts[~long], begin])
+    found.ends = np.concatenate([found.ends[~long], end])
+
+
+def word_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """``lang``, ``word`` (bytes of letters, A-Z in lower case) and ``n``, how
+    often it stands in all texts of the language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            code = langs.indices.to_numpy()
+            data, offsets = text_buffers(batch.column(1))
+            for lo, hi in slices(offsets):
+                found = Words(data, offsets, lo, hi, _LETTER, LOWER)
+                _learnt_words(found)
+                if not len(found.starts):
+                    continue
+                lang = code[lo + np.searchsorted(found.bounds, found.starts, side="right") - 1]
+                order = np.lexsort((h := found.hashes(), lang))
+                h, lang = h[order], lang[order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (lang[1:] != lang[:-1])))
+                at = order[first]
+                size = found.ends[at] - found.starts[at]
+                ends = np.cumsum(size)
+                place = np.repeat(found.starts[at] - (ends - size), size) + np.arange(ends[-1])
+                words = pa.Array.from_buffers(pa.binary(), len(at), [
+                    None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(found.data[place])])
+                yield pa.RecordBatch.from_arrays([
+                    langs.dictionary.take(pa.array(lang[first])), words,
+                    pa.array(np.diff(np.append(first, len(h))).astype(np.int64))], names=["lang", "word", "n"])
+
+    return (df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+            .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+            .mapInArrow(lean(count), "lang string, word binary, n long")
+            .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+
+def learn(df: DataFrame, id_col: str, lang_col: str, text_col: str) -> dict[str, bytes]:
+    """The models: language to its most frequent words, counted over all
+    labelled texts that are not held out."""
+    counts = word_counts(df.where(fold(id_col) != 0), lang_col, text_col)
+    # parts first, so that no task ranks more than PARTS * MODEL_WORDS words of a language
+    first = [F.col("n").desc(), "word"]
+    part = F.pmod(F.xxhash64("word"), F.lit(PARTS))
+    top = (counts.withColumn("part", part)
+           .withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*first)))
+           .where(F.col("r") <= MODEL_WORDS)
+           .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*first)))
+           .where(F.col("r") <= MODEL_WORDS).select("lang", "r", "word").toArrow())
+    ranked: dict[str, list[tuple[int, bytes]]] = {}
+    for lang, r, word in zip(*(top.column(c).to_pylist() for c in ("lang", "r", "word")), strict=True):
+        ranked.setdefault(lang, []).append((r, word))
+    out = {}
+    for lang, words in ranked.items():
+        text = b" "
+        for _, word in sorted(words):
+            if len(text) + len(word) >= MODEL_BYTES:
+                break
+            text += word + b" "
+        out[lang] = text
+    return out
+
+
 def sample(df: DataFrame, id_col: str, lang_col: str, text_col: str) -> dict[str, bytes]:
-    """Bounded learning sample: language to joined texts."""
+    """A bounded sample in place of the models, for a quick look: at most
+    ``SAMPLE_TEXTS`` different beginnings of texts a language, of
+    ``SAMPLE_TEXT_BYTES`` bytes at most (shorter texts whole, a character cut
+    in two left out), in hash order, and of these up to ``SAMPLE_BYTES``.  No
+    registered query learns from it."""
     rows = (df.where((fold(id_col) != 0) & F.col(lang_col).isNotNull())
             .select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
             .select("lang", F.substring("text", 1, SAMPLE_TEXT_BYTES).alias("text"))
@@ -89,10 +181,10 @@ def symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Parser:
-    """Suffix automaton of one sample as a dense table.
+    """Suffix automaton of one model's text as a dense table.
 
     ``table[state * width + class]`` is the next state; 0 means that no
-    phrase of the sample goes on that way.  Class 0 pads and stays.
+    phrase of that text goes on that way.  Class 0 pads and stays.
     """
 
     def __init__(self, text: np.ndarray, classes: np.ndarray, width: int):
@@ -245,7 +337,7 @@ def _identifier(samples: tuple[tuple[str, bytes], ...]) -> Identifier:
 def identify(df: DataFrame, id_col: str, text_col: str, samples: dict[str, bytes]) -> DataFrame:
     """One row per input row: the id, ``lang_pred``, ``score`` (how much
     cheaper the winner is than the runner-up) and ``bits`` per symbol."""
-    shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))  # SAMPLE_BYTES per language
+    shared = df.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))  # MODEL_BYTES per language
     rows = df.select(F.col(id_col), F.col(text_col).alias("_text"))
     schema = T.StructType([rows.schema[0], T.StructField("lang_pred", T.StringType(), False),
                            T.StructField("score", T.DoubleType(), False),

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import corpus_pipeline
@@ -7,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tally.llm import decontaminate, language_id, sentencepiece_codec, substring_dedup
-from tally.llm.queries import PIECE_MODEL, op1_sentencepiece
+from tally.llm.queries import PIECE_MODEL, op1_sentencepiece, op10_language_id
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -91,6 +92,59 @@ def test_sample_holds_long_texts_and_different_ones(spark):
     assert all(4090 < len(x.encode()) <= language_id.SAMPLE_TEXT_BYTES for x in long)
 
 
+def test_models_count_every_text_whole(spark):
+    rng = random.Random(16)
+    rows = [(i, "x" if i % 2 else "y", " ".join(prose(rng, 30))) for i in range(400)]
+    # what stands behind the first 4 KB of one text, and words that no single text repeats
+    rows += [(1001, "x", "filler " * 700 + "Behind " * 500), (1002, "y", "a1Béc--d " + "漢字" * 9 + "漢")]
+    rows += [(1003, None, "unlabelled"), (None, "x", "nameless"), (1004, "x", None), (1005, "z", "12 !?")]
+    rows += [(i, "z", "heldout") for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 0]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    want = {}
+    for i, lang, text in rows:
+        if i is None or lang is None or not text or zlib.crc32(str(i).encode()) % 5 == 0:
+            continue
+        for word in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())):
+            chars = word.decode()
+            for x in [word] if len(word) <= 32 else [chars[k:k + 2].encode() for k in range(0, len(chars), 2)]:
+                want[lang, x] = want.get((lang, x), 0) + 1
+    got = language_id.word_counts(df.where(language_id.fold("doc_id") != 0), "lang", "text").collect()
+    assert {(r.lang, bytes(r.word)): r.n for r in got} == want and len(got) == len(want)
+    models = language_id.learn(df, "doc_id", "lang", "text")
+    assert set(models) == {lang for lang, _ in want}
+    for lang, model in models.items():
+        ranked = sorted((-n, w) for (k, w), n in want.items() if k == lang)
+        assert model == b" " + b"".join(w + b" " for _, w in ranked)
+    assert b" behind " in models["x"]
+
+
+def test_model_of_many_words_keeps_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL_WORDS", 20)
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    rows = [(i, "x", " ".join(words[:1 + i % 100])) for i in range(1000)]  # the first words are the most frequent
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert language_id.learn(df, "doc_id", "lang", "text")["x"].split() == [w.encode() for w in words[:20]]
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 21)
+    assert language_id.learn(df, "doc_id", "lang", "text")["x"].split() == [w.encode() for w in words[:5]]
+
+
+def test_language_of_words_outside_any_sample(spark, tmp_path):
+    """Texts whose beginnings say nothing: a model of their first 4 KB does
+    not tell the languages apart."""
+    rng = random.Random(17)
+    own = {"x": [w + "x" for w in VOCABULARY[:60]], "y": [w + "y" for w in VOCABULARY[60:120]]}
+    rows = [(i, lang, "same words first " * 260 + " ".join(rng.choices(own[lang], k=40)))
+            for i, lang in enumerate(rng.choices("xy", k=200))]
+    rows += [(1000 + i, lang, " ".join(rng.choices(own[lang], k=40))) for i, lang in enumerate("xy" * 40)
+             if zlib.crc32(str(1000 + i).encode()) % 5 == 0]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    truth = {r[0]: r[1] for r in rows}
+    got = op10_language_id(spark, str(tmp_path)).collect()
+    short = [r for r in got if r.doc_id >= 1000]
+    assert short and all(r.held_out and r.lang_pred == truth[r.doc_id] for r in short)
+
+
 # -- line dedup ------------------------------------------------------------
 
 def test_source_a_third_of_which_is_one_document(spark):
