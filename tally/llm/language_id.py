@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .memory import lean
+from .memory import lean, pieces, release
 from .words import LOWER, Words, byte_class, slices, text_buffers
 
 #: Size of a language's model, not of what it is learnt from.
@@ -52,8 +52,9 @@ SEGMENT = 256
 #: Phrases that any text may take: the first, and one where two words of the model meet.
 FREE = 2
 UNDETERMINED = "und"
-#: Bytes per lockstep pass.
-_PASS = 1 << 21
+#: Bytes per lockstep pass, and rows of a batch that are parsed and sent on at
+#: once: with the models' tables they are what a worker holds beside its input.
+_PASS, _ROWS = 1 << 20, 500
 _BLANK = 0x20
 _LETTER = byte_class(rb"[A-Za-z\x80-\xFF]")
 _SYMBOL = np.where(_LETTER, LOWER, _BLANK).astype(np.uint8)
@@ -213,12 +214,13 @@ class Parser:
                         p = link[p]
                     link[q] = link[cur] = copy
             last = cur
-        table = np.zeros((len(step), width), np.int32)
+        # two bytes a state where they do: the tables are most of what a worker holds
+        table = np.zeros((len(step), width), np.uint16 if len(step) <= 1 << 16 else np.int32)
         for state, edges in enumerate(step):
             if edges:
                 table[state, list(edges)] = list(edges.values())
         table[:, 0] = np.arange(len(step))
-        self.first = table[1].copy()  # padding stays at the root
+        self.first = table[1].astype(np.int64)  # padding stays at the root
         self.unseen = (self.first == 0).astype(np.int64)  # such a symbol is a phrase of its own
         self.first[self.first == 0] = 1
         self.table, self.width = table.ravel(), width
@@ -235,7 +237,7 @@ class Parser:
             new = self.table[state * self.width + symbol]
             stop = new == 0
             count += (stop & (state != 1)) + self.unseen[symbol]
-            state = np.where(stop, self.first[symbol], new).astype(np.int64)
+            state = np.where(stop, self.first[symbol], new)
         return count + (state != 1)  # the phrase that the segment's end closes
 
 
@@ -280,8 +282,8 @@ class Identifier:
             columns[t, :live] = classes[start[:live] + t]
         for k, parser in enumerate(self.parsers):
             out[:, k] = np.bincount(owner, parser.phrases(columns[:int(length[0])]), len(size))
-            run = np.concatenate([[0], np.cumsum(parser.unseen[classes[:-1]])])
-            unseen[:, k] = run[at[1:]] - run[at[:-1]]
+            places = np.flatnonzero(parser.unseen.astype(bool)[classes[:-1]])
+            unseen[:, k] = np.diff(np.searchsorted(places, at))
         return out, unseen, size
 
     def explained(self, column: pa.Array, max_bits: float) -> np.ndarray:
@@ -362,8 +364,10 @@ def keep_identified(df: DataFrame, text_col: str, samples: dict[str, bytes], max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = _identifier(shared.value)
+        release()  # what building the tables took
         for batch in batches:
-            yield batch.filter(pa.array(identifier.explained(batch.column(at), max_bits)))
+            for part in pieces(batch, _ROWS):
+                yield part.filter(pa.array(identifier.explained(part.column(at), max_bits)))
         del identifier
 
     return df.mapInArrow(lean(run, _identifier.cache_clear), df.schema)

@@ -29,10 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import lean, pieces
+
 MARK = "▁"
 #: Different chunks, and characters in them, that a worker keeps before the
 #: older generation is forgotten (a cache: results do not depend on it).
 CACHE_CHUNKS, CACHE_CHARS = 50_000, 2_000_000
+#: Rows of a batch that are encoded and sent on at once.
+ROWS = 500
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 PIECES = T.StructType([
@@ -398,7 +402,7 @@ def round_trip(df: DataFrame, id_col: str, text_col: str, model_path: str, with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(proto.value)
         spell = codec.decimals.__getitem__
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, ROWS)):
             done = 0
             for out in _encoded(codec, [t or "" for t in batch.column(1).to_pylist()]):
                 digests: list[list[str]] = [[], [], []]
@@ -415,4 +419,4 @@ def round_trip(df: DataFrame, id_col: str, text_col: str, model_path: str, with_
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 done += len(out)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run, _codec.cache_clear), schema)

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tally.llm import decontaminate, language_id, sentencepiece_codec, substring_dedup
@@ -70,6 +72,22 @@ def test_digests_are_of_encoded_spans_and_decoded_ids(spark):
 
 # -- language ID -----------------------------------------------------------
 
+def test_workers_forget_codec_and_models_after_a_task(spark):
+    rng = random.Random(19)
+    rows = [(i, "xy"[i % 2], " ".join(prose(rng, 30))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(16)
+    assert sentencepiece_codec.round_trip(docs, "doc_id", "text", PIECE_MODEL, with_ids=True).count() == 800
+    models = language_id.learn(docs, "doc_id", "lang", "text")
+    assert language_id.keep_identified(docs, "text", models, corpus_pipeline.MAX_BITS).count() == 800
+
+    def held(batches):
+        for batch in batches:
+            n = sentencepiece_codec._codec.cache_info().currsize + language_id._identifier.cache_info().currsize
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 32, 1, 32).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_short_clean_documents_stay(spark):
     rng = random.Random(14)
     sample = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(8000))[:39000]
@@ -145,6 +163,30 @@ def test_language_of_words_outside_any_sample(spark, tmp_path):
     assert short and all(r.held_out and r.lang_pred == truth[r.doc_id] for r in short)
 
 
+def test_parse_holds_little_beside_its_texts():
+    rng = random.Random(18)
+    texts = [" ".join(prose(rng, 400)) for _ in range(2000)]
+    identifier = language_id.Identifier((("x", texts[0].encode()), ("y", b"0 else")))
+    column = pa.array(texts + ["", None, "12 !?"])
+    tracemalloc.start()
+    try:
+        keep = identifier.explained(column, corpus_pipeline.MAX_BITS)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert keep.tolist() == [True] * len(texts) + [False] * 3
+    assert peak < 24 << 20
+
+
+def test_unseen_symbols_are_counted_per_text():
+    identifier = language_id.Identifier((("x", b" abc abd "), ("y", b" xyz ")))
+    texts = ["abc", "", "xqx abz", "zzz" * 200, "q"]
+    data = "".join(texts).encode()
+    bounds = np.cumsum([0] + [len(t.encode()) for t in texts])
+    _, unseen, _ = identifier.parse(np.frombuffer(data, np.uint8), bounds)
+    assert unseen.tolist() == [[sum(c not in model for c in t) for model in (" abcd", " xyz")] for t in texts]
+
+
 # -- line dedup ------------------------------------------------------------
 
 def test_source_a_third_of_which_is_one_document(spark):
